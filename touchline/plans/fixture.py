@@ -10,6 +10,9 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
+
+from touchline.session import scratch
 
 MATCH_EVENTS = """
 WITH base AS (
@@ -133,11 +136,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, or a view derived from driver tables."""
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql, needs = VIEWS[name]
-    frames = {n: table(spark, sf_dir, n) for n in needs}
-    for n in needs:
-        sql = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {{{n}}}", sql)
-    return spark.sql(sql, **frames)
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written:
+        sql, needs = VIEWS[name]
+        frames = {n: table(spark, sf_dir, n) for n in needs}
+        for n in needs:
+            sql = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {{{n}}}", sql)
+        path = scratch(spark, name)
+        df = spark.sql(sql, **frames)
+        df.write.parquet(path)
+        _written[key] = (path, df.schema)
+    path, schema = _written[key]
+    return spark.read.schema(schema).parquet(path)
+
+
+#: Views already derived by this application: written once to the shared
+#: folder, then scanned like any archive (column pruning, pushed filters).
+_written: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 
 def with_views(query: str, *names: str, recursive: bool = False, **extra: str) -> str:
