@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from touchline.operators import standings as SD
 from touchline.plans import corrections as C
 from touchline.plans.fixture import table, with_views
+from touchline.session import cut
 
 BY = ["region_id", "season_id"]
 
@@ -54,7 +55,7 @@ def cards(spark, d):
 
 
 def season_tables(spark, d):
-    c = cards(spark, d)
+    c = cut(cards(spark, d), "cards")
     return SD.season_tables(c, SD.season_facts(c))
 
 
