@@ -136,22 +136,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, or a view derived from driver tables."""
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _written:
+    def derive() -> DataFrame:
         sql, needs = VIEWS[name]
         frames = {n: table(spark, sf_dir, n) for n in needs}
         for n in needs:
             sql = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {{{n}}}", sql)
+        return spark.sql(sql, **frames)
+
+    return once(spark, sf_dir, name, derive)
+
+
+def once(spark: SparkSession, sf_dir: str, name: str, derive) -> DataFrame:
+    """Derive a table the first time this application asks for it.
+
+    It is written to the shared folder and scanned from there, like any archive:
+    pruned columns, pushed filters, and no lineage to lose with an executor.
+    """
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written:
         path = scratch(spark, name)
-        df = spark.sql(sql, **frames)
+        df = derive()
         df.write.parquet(path)
         _written[key] = (path, df.schema)
     path, schema = _written[key]
     return spark.read.schema(schema).parquet(path)
 
 
-#: Views already derived by this application: written once to the shared
-#: folder, then scanned like any archive (column pruning, pushed filters).
 _written: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 

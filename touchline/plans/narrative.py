@@ -16,12 +16,12 @@ from touchline.operators import timeline as TL
 from touchline.plans import corrections as C
 from touchline.plans import match as M
 from touchline.plans import probability as PR
-from touchline.plans.fixture import half_up, table
+from touchline.plans.fixture import half_up, once, table
 from touchline.session import cut
 
 
 def winners(spark, d):
-    return MO.winner(C.match_state(spark, d), table(spark, d, "matches"))
+    return once(spark, d, "winners", lambda: MO.winner(C.match_state(spark, d), table(spark, d, "matches")))
 
 
 def _series(spark, d):
@@ -29,11 +29,12 @@ def _series(spark, d):
 
 
 def candidates(spark, d):
-    return MO.candidates(table(spark, d, "match_events"), table(spark, d, "corrections"), _series(spark, d), winners(spark, d))
+    return once(spark, d, "candidates", lambda: MO.candidates(
+        table(spark, d, "match_events"), table(spark, d, "corrections"), _series(spark, d), winners(spark, d)))
 
 
 def moments(spark, d):
-    return MO.suppress_duplicates(MO.choose(cut(candidates(spark, d), "moments")))
+    return MO.suppress_duplicates(MO.choose(candidates(spark, d)))
 
 
 CAND = ["match_id", "event_id", "kind", "period", "minute", "home_after", "away_after", "mandatory", "shot_type", "detail", "synthesised"]
@@ -44,7 +45,7 @@ def _shown(m):
 
 
 def chosen(spark, d):
-    return _shown(MO.choose(cut(candidates(spark, d), "moments")))
+    return _shown(MO.choose(candidates(spark, d)))
 
 
 def event_probabilities(spark, d):
@@ -72,7 +73,7 @@ def _matches(spark, d):
 
 
 def reports(spark, d):
-    w = cut(winners(spark, d), "winners")
+    w = winners(spark, d)
     m = cut(moments(spark, d), "moments")
     return RP.reports(w, _goals(spark, d), m, table(spark, d, "corrections"), _matches(spark, d))
 
