@@ -37,22 +37,14 @@ def recent(posts: DataFrame, now: Column, hours: int = MAX_AGE_H) -> DataFrame:
 # ---- classification
 
 
-def _grams(tokens: Column, longest: int) -> Column:
-    """Distinct runs of 1..longest tokens, joined by a blank."""
-    runs = [F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(0)), F.lit(1)), lambda i, n=n: F.array_join(F.slice(tokens, i, n), " "))
-            for n in range(1, longest + 1)]
-    some = [F.when(F.size(tokens) >= n, r).otherwise(F.array().cast("array<string>")) for n, r in enumerate(runs, 1)]
-    return F.array_distinct(F.flatten(F.array(*some)))
-
-
-def classify(posts: DataFrame, aliases: DataFrame, lookalikes: dict[str, Sequence[str]] | None = None, longest: int = 4) -> DataFrame:
+def classify(posts: DataFrame, aliases: DataFrame, lookalikes: dict[str, Sequence[str]] | None = None) -> DataFrame:
     """(post_id, topic) for every topic a post is about.
 
     posts: post_id, text and optionally `via` (the topic whose search found it).
     aliases: topic, kind, code, side, alias, strong.
 
-    Posts never meet aliases pairwise: both are cut into word runs and joined on
-    equality, and only those candidates are checked against the text.  A
+    Posts never meet aliases pairwise: a post's words are joined with the longest
+    word of each alias, and only those candidates are held against the text.  A
     fixture needs both teams by a strong alias, or either team by any alias when
     its own search found the post; a competition needs its name, with the names
     of look-alikes taken out, or one of its fixtures.
@@ -70,13 +62,21 @@ def classify(posts: DataFrame, aliases: DataFrame, lookalikes: dict[str, Sequenc
         versions.append(F.when(t != F.col("txt"), F.struct(F.lit(code).alias("only"), t.alias("txt"))))
         replaced.append(F.when(t != F.col("txt"), F.lit(code)))
     cut_for = F.array_compact(F.array(*replaced)) if replaced else F.array().cast("array<string>")
-    v = p.select("post_id", "via", cut_for.alias("cut_for"), F.inline(F.array_compact(F.array(*versions))))
-    v = v.withColumn("gram", F.explode(_grams(F.regexp_extract_all("txt", F.lit(WORD), F.lit(0)), longest)))
-    a = aliases.withColumn("gram", F.array_join(F.regexp_extract_all("alias", F.lit(WORD), F.lit(0)), " "))
+    v = cut(p.select("post_id", "via", cut_for.alias("cut_for"), F.inline(F.array_compact(F.array(*versions)))), "texts")
+    # the words of a text, once each; the text itself is not carried along
+    words = v.select("post_id", "via", "cut_for", "only", F.explode(F.array_distinct(F.regexp_extract_all("txt", F.lit(WORD), F.lit(0)))).alias("word"))
+    tokens = F.regexp_extract_all("alias", F.lit(WORD), F.lit(0))
+    longest = F.element_at(F.array_sort(F.transform(tokens, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), 1)["t"]
+    a = aliases.filter(F.size(tokens) > 0).withColumns({"word": longest, "whole": F.col("alias") == longest})
     comp = F.col("kind") == "competition"
     right_text = F.when(F.col("only").isNull(), ~(comp & F.array_contains("cut_for", F.col("code")))).otherwise(comp & (F.col("only") == F.col("code")))
+    near = words.join(a, "word").filter(right_text).select("post_id", "via", "only", "topic", "kind", "code", "side", "alias", "strong", "whole")
+    # a one-word alias is settled; of the rest, the text decides
     literal = F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("alias"), F.lit(r"\E(?!\w)"))
-    named = v.join(a, "gram").filter(right_text & F.regexp_like("txt", literal))
+    check = near.filter("NOT whole").withColumn("only", F.coalesce("only", F.lit("")))
+    texts = v.select("post_id", F.coalesce("only", F.lit("")).alias("only"), "txt")
+    checked = check.join(texts, ["post_id", "only"]).filter(F.regexp_like("txt", literal)).drop("txt")
+    named = near.filter("whole").unionByName(checked)
     side = lambda s, cond=F.lit(True): F.bool_or((F.col("side") == s) & cond)
     hits = named.groupBy("post_id", "topic", "kind", "code").agg(
         side("home", F.col("strong")).alias("h"), side("away", F.col("strong")).alias("a"),
