@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import numeric as N
@@ -150,8 +150,13 @@ def baseline_scores(split: DataFrame) -> DataFrame:
     train, test = split.filter("is_train"), split.filter("NOT is_train")
     counts = test.groupBy(_sign(), "label").agg(F.count(F.lit(1)).alias("k"))
     by_sign = counts.join(score_decides(train), "sign").withColumn("model", F.lit("score_decides"))
-    prior = class_prior(train).withColumn("model", F.lit("prior"))
-    by_prior = counts.withColumn("model", F.lit("prior")).join(prior, "model")
+    # the prior beside each sign: totals over the three rows of counts
+    seen = train.groupBy(_sign()).agg(*[N.count_if(F.col("label") == i).alias(f"n{i}") for i in range(len(CLASSES))])
+    signs = train.sparkSession.range(3).select((F.col("id") - 1).cast("int").alias("sign")).join(seen, "sign", "left").fillna(0)
+    three = Window.partitionBy(F.lit(1))
+    total = F.sum(F.col("n0") + F.col("n1") + F.col("n2")).over(three)
+    prior = signs.select("sign", *[(F.sum(f"n{i}").over(three) / total).alias(c) for i, c in enumerate(CLASSES)])
+    by_prior = counts.join(prior, "sign").withColumn("model", F.lit("prior"))
     cols = ["model", "label", "k", *CLASSES]
     both = by_sign.select(*cols).unionByName(by_prior.select(*cols))
     weighted = lambda e: N.half_up(F.sum(N.micro(e) * F.col("k")) / F.sum("k") / float(N.MICRO), 4)

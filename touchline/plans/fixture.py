@@ -95,7 +95,7 @@ SELECT concat('c1-', CAST(event_id AS VARCHAR(20))) AS correction_id, match_id,
        CASE WHEN shot_outcome <> 'Goal' THEN CAST(0.05 + shot_xg * 0.5 AS DOUBLE) END AS new_xg
 FROM match_events WHERE type = 'Shot' AND period < 5 AND ((shot_outcome = 'Goal' AND event_id % 3 < 2) OR (shot_outcome <> 'Goal' AND event_id % 7 = 0))
 UNION ALL
-SELECT concat('c2-', CAST(event_id AS VARCHAR(20))), match_id, event_id, 'reinstate', 'Onside after review', 'official_review', period, minute + 6, FALSE,
+SELECT concat('c2-', CAST(event_id AS VARCHAR(20))), match_id, event_id, 'reinstate', 'Goal stands after review', 'official_review', period, minute + 6, FALSE,
        CAST(NULL AS INT), CAST(NULL AS VARCHAR(20)), CAST(NULL AS INT), CAST(NULL AS VARCHAR(20)), CAST(NULL AS INT), CAST(NULL AS DOUBLE)
 FROM match_events WHERE type = 'Shot' AND period < 5 AND shot_outcome = 'Goal' AND event_id % 6 = 0
 """

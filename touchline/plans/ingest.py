@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from touchline.operators import network as NW
 from touchline.operators import standings as SD
 from touchline.operators import timeline as TL
+from touchline.plans import archive as A
 from touchline.plans import corrections as C
 from touchline.plans import narrative as NA
 from touchline.plans import probability as PR
+from touchline.plans import tables as TB
 from touchline.plans.fixture import long, table, with_views
 from touchline.session import scratch
 from touchline.sources import api_football as AF
@@ -323,6 +325,10 @@ ORACLE = {
     "fixture_cards": _me("""SELECT concat('fd-', match_id) AS id, ['PD', 'PL', 'CL', 'SA'][match_id % 4 + 1] AS code, ['La Liga', 'Official PL', 'Champions League', 'Official SA'][match_id % 4 + 1] AS competition, concat(match_date, 'T', kick_off, 'Z') AS kickoff,
        ['scheduled', 'scheduled', 'live', 'half_time', 'finished', 'finished', 'postponed', 'suspended', 'cancelled', 'scheduled'][match_id % 10 + 1] AS status, match_id % 20 AS matchday, 'Group Stage' AS stage,
        CAST(home_id AS VARCHAR) AS home_id, home AS home_name, concat(home, ' FC') AS home_full, away AS away_name FROM matches""", "matches"),
+    "current_standings": with_views("""SELECT concat(region_id, '-', season_id) AS code, 3 AS matchday, 'Regular Season' AS stage, position, CAST(team_id AS VARCHAR) AS team_id, concat('Nation ', team_id) AS team,
+       CAST(played AS INT) AS played, CAST(won AS INT) AS won, CAST(drawn AS INT) AS drawn, CAST(lost AS INT) AS lost, CAST(goals_for AS INT) AS goals_for, CAST(goals_against AS INT) AS goals_against,
+       CAST(goal_difference AS INT) AS goal_difference, CAST(points AS INT) AS points FROM t_final""", "results_region", h2h=TB.h2h_sql("results_region", TB.BY), **TB.standings_ctes("t", "h2h", TB.BY, "PL")),
+    "current_scorers": f"""SELECT 'PD' AS code, CAST(row_number() OVER (ORDER BY value DESC, player_id) AS INT) AS n, player, team, CAST(matches AS INT) AS played, CAST(value AS INT) AS goals FROM ({A._leaderboard_sql('goals')})""",
     "current_competitions": with_views("""SELECT ['PD', 'PL', 'CL', 'SA', 'BSA'][region_id % 5 + 1] AS code, CAST(region_id AS VARCHAR) AS id, ['La Liga', 'Official', 'Champions League', 'Official', 'Brasileirão'][region_id % 5 + 1] AS name, 'LEAGUE' AS type,
        strftime(min(kickoff), '%Y-%m-%d') AS season_start, strftime(max(kickoff), '%Y-%m-%d') AS season_end FROM results_region GROUP BY region_id""", "results_region"),
     "api_football_events": _me("SELECT * FROM afe", "corrections", afr=AFSQL, afe=AFE),

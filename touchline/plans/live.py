@@ -68,7 +68,7 @@ def stream_resume(spark, d):
 
 def _posts_stream(spark, d):
     p = FE.posts(spark, d).select("post_id", "network", "author_id", "handle", F.concat_ws(" ", "tag", "text").alias("text"), "ts")
-    src = once(spark, d, "posts-stream", lambda: p.coalesce(1).sortWithinPartitions("ts"))
+    src = once(spark, d, "posts-stream", lambda: p)
     path = src.inputFiles()[0].rsplit("/", 1)[0]
     return spark.readStream.schema(src.schema).parquet(path)
 
