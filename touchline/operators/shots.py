@@ -16,6 +16,13 @@ def _all(conds: list[Column]) -> Column:
     return out
 
 
+def _worth(min_xg: float) -> Column:
+    """xG of at least `min_xg`, an unknown one counting as 0.  Above 0 this is a
+    plain comparison, which the file scan can skip row groups by."""
+    xg = F.col("shot_xg")
+    return xg >= min_xg if min_xg > 0 else F.coalesce(xg, F.lit(0.0)) >= min_xg
+
+
 def matching_events(
     events: DataFrame,
     *,
@@ -36,7 +43,7 @@ def matching_events(
     if period:
         conds.append(F.col("period") == period)
     if min_xg is not None:
-        conds.append(F.coalesce("shot_xg", F.lit(0.0)) >= min_xg)
+        conds.append(_worth(min_xg))
     return events.filter(_all(conds)) if conds else events
 
 
@@ -62,7 +69,7 @@ def shots(
     limit: int | None = 500,
 ) -> DataFrame:
     """Ad-hoc shot query, best chances first; the shootout is left out."""
-    conds = [P.is_shot(), F.col("period") < 5, F.coalesce("shot_xg", F.lit(0.0)) >= min_xg]
+    conds = [P.is_shot(), F.col("period") < 5, _worth(min_xg)]
     if competition_id is not None:
         conds.append(F.col("competition_id") == competition_id)
     if season_id is not None:
@@ -99,7 +106,7 @@ def outside_box_by_player(events: DataFrame) -> DataFrame:
 
 def shots_of_match(events: DataFrame, min_xg: float = 0.0) -> DataFrame:
     """Shots of each match worth at least `min_xg`; an unknown xG counts as 0."""
-    return events.filter(P.is_shot() & (F.coalesce("shot_xg", F.lit(0.0)) >= min_xg))
+    return events.filter(P.is_shot() & _worth(min_xg))
 
 
 def player_shots(events: DataFrame, matches: DataFrame | None = None, limit: int = 400) -> DataFrame:
