@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from touchline.llm import exact, mixing, simhash
+from touchline.llm import bpe, exact, mixing, records, simhash
 
-SETS = (simhash, exact, mixing)
+SETS = (records, bpe, simhash, exact, mixing)
 QUERIES = {k: q for s in SETS for k, q in s.QUERIES.items()}
 ORACLE = {k: q for s in SETS for k, q in s.ORACLE.items()}
