@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from touchline.llm import bpe, exact, mixing, quality, records, simhash
+from touchline.llm import bpe, exact, mixing, private, quality, records, simhash
 
-SETS = (records, quality, bpe, simhash, exact, mixing)
+SETS = (records, quality, bpe, simhash, exact, private, mixing)
 QUERIES = {k: q for s in SETS for k, q in s.QUERIES.items()}
 ORACLE = {k: q for s in SETS for k, q in s.ORACLE.items()}
