@@ -5,11 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import mixing, simhash
+from touchline.llm import bpe, lines, mixing, quality, simhash
 from touchline.llm.common import documents
 from touchline.session import cut
 
 
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    return quality.kept(docs)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines like an earlier one go; `n_chars` is counted again."""
+    return lines.kept(docs).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id."""
     return simhash.keep_one(docs)
@@ -20,9 +30,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.repeated(docs)
 
 
-STAGES = [("simhash near-dedup", near_dedup), ("mixing sources", mix_sources)]
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with the digests of the ids and of what they decode to."""
+    import public_tokenizers as P
+
+    file = P.path("byte_bpe_50k.tiktoken")
+    d = docs.select("doc_id", "source", "lang", "text")
+    return bpe.digests(bpe.decode(bpe.encode(d, file, P.PATTERN), file, P.PATTERN)).select("doc_id", "source", "lang", "ids", "n_tokens", "ids_sha256", "decoded_sha256")
+
+
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("simhash near-dedup", near_dedup), ("mixing sources", mix_sources), ("byte-level bpe", encode)]
 
-#: No SQL for the whole: fingerprints, thresholds over Spark's hash and the byte-pair encoding have none.
+#: No SQL for the whole: MinHash, fingerprints, thresholds over Spark's hash and the byte-pair encoding have none.
 ORACLE_SQL = None
 
 

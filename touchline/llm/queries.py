@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from touchline.llm import bpe, exact, lines, mixing, passages, private, quality, records, simhash
+from touchline.llm import bpe, exact, licenses, lines, mixing, passages, private, quality, records, simhash
 
-SETS = (records, quality, bpe, simhash, exact, lines, private, mixing, passages)
+SETS = (records, licenses, quality, bpe, simhash, exact, lines, private, mixing, passages)
 QUERIES = {k: q for s in SETS for k, q in s.QUERIES.items()}
 ORACLE = {k: q for s in SETS for k, q in s.ORACLE.items()}
