@@ -91,8 +91,8 @@ def clustered(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Null and wordless texts have fingerprint 0, which links like any other.
     """
     marked = cut(docs.withColumn("_fp", fingerprints(F.col(f"`{text_col}`"))), "fingerprints")
-    roots = cut(components(links(marked.select(F.col("_fp").alias("fp")))).select(F.col("node").alias("_fp"), "root"), "roots")
-    return marked.join(roots, "_fp", "left").withColumn("_root", F.coalesce("root", "_fp")).drop("root")
+    roots = cut(components(links(marked.select(F.col("_fp").alias("fp")))).select(F.col("node").alias("_fp"), F.col("root").alias("_r")), "roots")
+    return marked.join(roots, "_fp", "left").withColumn("_root", F.coalesce("_r", "_fp")).drop("_r")
 
 
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
