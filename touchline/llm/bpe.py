@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.llm.chunks import MOST, Remembered, slices
+from touchline.llm.chunks import Remembered, slices
 from touchline.llm.common import documents, inner
 
 MOST_PAIRS = 500_000
@@ -107,14 +107,12 @@ class Vocabulary:
 
     def grow(self, data: bytes, last: list[int]) -> list[int]:
         """Append the last tokens of all longer prefixes of `data` to those of the first ones."""
-        pairs, at = self.pairs, len(last)
+        pairs, at, add = self.pairs, len(last), last.append
         # All tokens that end at a byte, byte by byte; one of them is the last of its prefix.
         for end, (before, t) in self.within.iter(data.decode("latin-1"), max(0, at - self.longest)):
-            if end == at:
-                start = end - before
-                if start < 0 or pairs[last[start] << 32 | t]:
-                    last.append(t)
-                    at += 1
+            if end == at and (end < before or pairs[last[end - before] << 32 | t]):
+                add(t)
+                at += 1
         return last
 
     def back(self, last: list[int]) -> list[int]:
@@ -195,22 +193,22 @@ def vocabulary(lines: bytes, pattern: str) -> Vocabulary:
 
 @functools.lru_cache(maxsize=2)
 def remembered(lines: bytes, pattern: str) -> Remembered:
-    v, known = vocabulary(lines, pattern), {}
+    v = vocabulary(lines, pattern)
+
+    def one(p: str) -> bytes:
+        """One piece; it is a chunk too, and is remembered as such."""
+        ids = memory.get(p)
+        if ids is None:
+            ids = array("i", v.piece(p)).tobytes()
+            memory.put(p, ids)
+        return ids
 
     def fresh(new: list[str]) -> list[bytes]:
-        if len(known) > MOST:
-            known.clear()
-        out = []
-        for chunk in new:
-            ids = array("i")
-            for p in v.pattern.findall(chunk):
-                if p not in known:
-                    known[p] = array("i", v.piece(p))
-                ids += known[p]
-            out.append(ids.tobytes())
-        return out
+        split = v.pattern.findall
+        return [b"".join(map(one, split(chunk))) for chunk in new]
 
-    return Remembered(fresh)
+    memory = Remembered(fresh)
+    return memory
 
 
 class Codec:
@@ -228,8 +226,9 @@ class Codec:
             return pa.array([np.frombuffer(p, "<i4") for p in parts], pa.list_(pa.int32()))
 
         def to_bytes(ids: pa.Array) -> pa.Array:
-            v = vocabulary(lines.value, pattern)
-            return pa.array([None if x is None else v.decode(x.as_py()) for x in ids], pa.binary())
+            token, flat, ends = vocabulary(lines.value, pattern).token, ids.flatten().to_numpy(), np.cumsum([0, *ids.value_lengths().fill_null(0).to_pylist()])
+            return pa.array([b"".join(map(token.__getitem__, flat[a:b].tolist())) if ok else None
+                             for a, b, ok in zip(ends[:-1].tolist(), ends[1:].tolist(), ids.is_valid().to_pylist(), strict=True)], pa.binary())
 
         self.ids = F.arrow_udf(to_ids, T.ArrayType(T.IntegerType()))
         self.bytes = F.arrow_udf(to_bytes, T.BinaryType())

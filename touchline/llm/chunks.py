@@ -15,7 +15,7 @@ import sys
 ODD = tuple(c for c in map(chr, range(sys.maxunicode + 1)) if c.isspace() and c not in " \n")
 ALONE = re.compile(r"(?<=\S)(?= \S)")
 #: Entries of a memory of pieces; some 200 bytes each.
-MOST = 400_000
+MOST = 800_000
 
 
 def chunks(text: str) -> tuple[list[str], list[str]]:
@@ -37,18 +37,28 @@ class Remembered:
     def __init__(self, fresh, most: int = MOST):
         self.fresh, self.most = fresh, most
         self.plain: dict[str, bytes] = {}
-        self.spaced: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}  # by what follows the space
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [chunks(t) for t in texts]
         if len(self.plain) + len(self.spaced) > self.most:
-            self.plain, self.spaced = {}, {}
+            self.plain.clear()
+            self.spaced.clear()
         for known, at, lead in ((self.plain, 0, ""), (self.spaced, 1, " ")):
             new = list({w for c in cut for w in c[at]}.difference(known))
             known.update(zip(new, self.fresh([lead + w for w in new]), strict=True))
         plain, spaced = self.plain.__getitem__, self.spaced.__getitem__
         return [b"".join([*map(plain, a), *map(spaced, b)]) for a, b in cut]
 
+    def get(self, chunk: str) -> bytes | None:
+        return self.spaced.get(chunk[1:]) if chunk[0] == " " else self.plain.get(chunk)
+
+    def put(self, chunk: str, ids: bytes) -> None:
+        if chunk[0] == " ":
+            self.spaced[chunk[1:]] = ids
+        else:
+            self.plain[chunk] = ids
+
 
 def slices(column, most_chars: int = 1 << 21):
     """Lists of texts of a bounded length together (one text at least); null is the empty text."""
