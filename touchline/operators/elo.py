@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,17 +25,21 @@ STEP_ROWS = 200_000
 
 def _rate(matches: pd.DataFrame, ratings: pd.DataFrame) -> pd.DataFrame:
     """One competition, one step: differences before each match, ratings after."""
-    now = dict(zip(ratings["team"], ratings["rating"]))
-    diffs = []
-    for home, away, hg, ag in zip(matches["home"], matches["away"], matches["hg"], matches["ag"]):
-        rh, ra = now.get(home, START), now.get(away, START)
-        diffs.append(rh - ra)
-        expected = 1.0 / (1.0 + 10.0 ** ((ra - rh) / SCALE))
-        actual = 1.0 if hg > ag else 0.5 if hg == ag else 0.0
-        move = K * max(abs(hg - ag), 1) ** 0.5 * (actual - expected)
-        now[home], now[away] = rh + move, ra - move
+    known = pd.Index(ratings["team"])
+    teams = known.append(pd.Index(pd.unique(pd.concat([matches["home"], matches["away"]]))).difference(known))
+    table = np.full(len(teams), START)
+    table[:len(known)] = ratings["rating"].to_numpy()
+    # All that a match needs besides the ratings is worked out for the whole step at once.
+    margin = (matches["hg"] - matches["ag"]).to_numpy()
+    weight, result = K * np.sqrt(np.maximum(np.abs(margin), 1)), (np.sign(margin) + 1) / 2
+    sides = np.column_stack([teams.get_indexer(matches["home"]), teams.get_indexer(matches["away"])])
+    diffs = np.empty(len(matches))
+    for k, pair in enumerate(sides):
+        diffs[k] = table[pair[0]] - table[pair[1]]
+        won = weight[k] * (result[k] - 1.0 / (1.0 + 10.0 ** (-diffs[k] / SCALE)))
+        table[pair] += (won, -won)
     out = pd.DataFrame({"match_id": matches["match_id"].to_numpy(), "value": diffs}).assign(team=None)
-    after = pd.DataFrame({"team": list(now), "value": list(now.values())}).assign(match_id=None)
+    after = pd.DataFrame({"team": teams, "value": table}).assign(match_id=None)
     return pd.concat([out, after], ignore_index=True)
 
 

@@ -115,7 +115,7 @@ def event_page_total(spark, d):
 
 def event_log_match(spark, d):
     e = table(spark, d, "match_events")
-    return SH.event_page(e, period=2, limit=5000).select(*PAGE_COLS)
+    return SH.event_page(e, match_id=7, limit=5000).select(*PAGE_COLS)
 
 
 SHOT_COLS = """match_id, idx, player_id, player, team, minute, x, y, {xg} AS xg,
@@ -250,7 +250,7 @@ ORACLE = {f"leaderboard_{m}": _leaderboard_sql(m) for m in LB.RANKED} | {
         f"SELECT {_PAGE} FROM match_events WHERE type = 'Shot' AND coalesce(shot_xg, 0) >= 0.3 ORDER BY match_id, idx LIMIT 50 OFFSET 25", "match_events"),
     "event_page_total": with_views(
         "SELECT count(*) AS total FROM match_events WHERE type = 'Shot' AND coalesce(shot_xg, 0) >= 0.3", "match_events"),
-    "event_log_match": with_views(f"SELECT {_PAGE} FROM match_events WHERE period = 2 ORDER BY match_id, idx LIMIT 5000", "match_events"),
+    "event_log_match": with_views(f"SELECT {_PAGE} FROM match_events WHERE match_id = 7 ORDER BY match_id, idx LIMIT 5000", "match_events"),
     "shots_all": _shots_sql("TRUE", 10**12),
     "shots_top": _shots_sql("TRUE", 500),
     "shots_filtered": _shots_sql("competition_id = 11 AND season_id = 0 AND coalesce(shot_xg, 0) >= 0.1 AND shot_body_part = 'Head'", 5000),

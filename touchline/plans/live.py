@@ -3,6 +3,7 @@ used up and returns what the sink then holds."""
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from touchline.plans import corrections as C
@@ -62,8 +63,17 @@ def stream_append(spark, d):
 def stream_resume(spark, d):
     """A follower that saw the first batch reads on from there."""
     c = _run(spark, d).changes()
-    n = c.filter("batch_id = 0").agg(F.max("n")).first()[0]
-    return _run(spark, d).changes(since=(0, n)).groupBy("type").agg(F.count(F.lit(1)).alias("messages"))
+    last = c.filter("batch_id = 0").agg(F.max(F.struct("batch_id", "match_id", "n"))).first()[0]
+    return _run(spark, d).changes(since=tuple(last)).groupBy("type").agg(F.count(F.lit(1)).alias("messages"))
+
+
+def score_feed(spark, d):
+    """What does not depend on how the log was cut into batches: the last score told, and how often one was told twice in a row."""
+    w = W.partitionBy("match_id").orderBy("batch_id")
+    told = _run(spark, d).score_changes().withColumn("s", F.struct("home_score", "away_score"))
+    told = told.withColumn("again", F.coalesce((F.lag("s").over(w) == F.col("s")).cast("long"), F.lit(0)))
+    last = told.groupBy("match_id").agg(F.max_by("s", "batch_id").alias("s"), F.sum("again").alias("repeats"))
+    return last.select("match_id", "s.home_score", "s.away_score", "repeats")
 
 
 def _posts_stream(spark, d):
@@ -92,7 +102,7 @@ QUERIES = {
     "stream_append": stream_append,
     "stream_state": lambda s, d: _run(s, d).states().select(*C.SCORE_COLS),
     "stream_changes": lambda s, d: _run(s, d).changes().select("batch_id", "match_id", "type", "ref", "text"),
-    "stream_score_feed": lambda s, d: LV.score_changes(_run(s, d).changes()).select("batch_id", "match_id", "score"),
+    "stream_score_feed": score_feed,
     "stream_resume": stream_resume,
     "stream_reset": stream_reset,
     "stream_volume": lambda s, d: _latest(s, d, SO.hourly_volume(_posts_stream(s, d)), ["from", "network"]),
@@ -104,6 +114,7 @@ QUERIES = {
 ORACLE = {
     "stream_append": C.sql(C.COUNT_BY),
     "stream_state": C.ORACLE["match_score"],
+    "stream_score_feed": f"SELECT match_id, home_score, away_score, CAST(0 AS BIGINT) AS repeats FROM ({C.ORACLE['match_score']})",
     "stream_reset": with_views("SELECT match_id, count(*) AS n FROM match_events WHERE match_id % 5 <> 0 OR match_id = 5 GROUP BY match_id", "match_events"),
     "stream_volume": FE.sql("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS "from", network, count(*) AS posts FROM p GROUP BY ALL"""),
     "stream_trends": FE.sql("""SELECT strftime(date_trunc('hour', ts) - to_hours(CAST(h AS INT)), '%Y-%m-%d %H:%M') AS "from", lower(substr(tag, 2)) AS tag, count(*) AS posts FROM p, range(0, 6) r(h) GROUP BY ALL"""),

@@ -5,7 +5,6 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings the operators were planned with.  Broadcast joins are left to AQE,
@@ -38,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(root)
@@ -58,8 +59,3 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Cache a frame that one job reads more than once; recomputed if lost."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -94,7 +94,7 @@ def reddit_atom(raw: DataFrame) -> DataFrame:
     title, url, author = F.trim(_s("title")), _s("link._href"), F.trim(_s("author.name"))
     p = raw.filter((title != "") & (url != "") & (author != ""))
     links = F.filter(F.regexp_extract_all(_s("content"), F.lit('href="(https?://[^"]+)"'), F.lit(1)), lambda u: ~u.contains("reddit.com") & ~u.contains("redd.it"))
-    handle = F.when(author.startswith("/u/"), F.substring(author, 2, 1000)).otherwise(F.concat(F.lit("u/"), author))
+    handle = F.when(author.startswith("/u/"), F.substr(author, F.lit(2))).otherwise(F.concat(F.lit("u/"), author))
     when = F.coalesce("published", "updated", F.lit(""))
     first = F.try_element_at(links, F.lit(1))
     return _post(p, "reddit", id=F.concat(F.lit("reddit:"), F.coalesce("id", url)), url=url, author_name=handle, author_handle=handle, author_url=F.trim(_s("author.uri")),

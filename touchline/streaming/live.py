@@ -12,6 +12,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
@@ -74,7 +75,7 @@ class LiveLog:
             body = StructType(schema.fields[:-1])
             new = LG._first_copy(RC.decode(batch, kind, body), ["match_id", self.ids[kind]], []).withColumn("bucket", RC.bucket())
             touched = new.select("bucket", "match_id").distinct()
-            old = self.visible(kind, keep=touched).select("match_id", self.ids[kind])
+            old = self.visible(kind, batch_id, touched).select("match_id", self.ids[kind])
             self._write(new.join(old, ["match_id", self.ids[kind]], "left_anti").withColumn("batch_id", F.lit(batch_id).cast("long")), kind, batch_id)
 
     def _write(self, df: DataFrame, name: str, batch_id: int) -> None:
@@ -109,8 +110,12 @@ class LiveLog:
             msgs = reduce(DataFrame.unionByName, [
                 CH.corrections_applied(old["corrections"], new["corrections"], new["goals"], state), CH.items_appended(old["timeline"], new["timeline"]),
                 CH.states_changed(old["state"], state), CH.probability_updated(old["state"], old["series"], state, new["series"])])
-            ordered = msgs.orderBy("match_id", "rank", "ref").withColumn("n", F.monotonically_increasing_id())
-            self._write(ordered.withColumn("batch_id", F.lit(batch_id).cast("long")), "changes", batch_id)
+            # The place of a message depends on nothing but the messages of its match, so a retry gives the same.
+            place = W.partitionBy("match_id").orderBy("rank", "ref", "text")
+            numbered = msgs.withColumn("n", F.row_number().over(place).cast("long"))
+            self._write(numbered.withColumn("batch_id", F.lit(batch_id).cast("long")), "changes", batch_id)
+            scores = CH.score_feed(old["state"], state).withColumn("batch_id", F.lit(batch_id).cast("long"))
+            self._write(scores, "scores", batch_id)
         finally:
             batch.unpersist()
 
@@ -127,19 +132,17 @@ class LiveLog:
         j = latest.join(r, "match_id", "left").filter(F.col("reset_at").isNull() | (F.col("batch_id") >= F.col("reset_at")))
         return j.select("match_id", "s.*")
 
-    def changes(self, since: tuple[int, int] | None = None) -> DataFrame:
-        """The change feed, in order; `since` is the last (batch_id, n) seen."""
+    def changes(self, since: tuple[int, int, int] | None = None) -> DataFrame:
+        """The change feed, in order; `since` is the last (batch_id, match_id, n) seen."""
         c = self.spark.read.parquet(f"{self.root}/changes")
+        place = ("batch_id", "match_id", "n")
         if since is not None:
-            b, n = since
-            c = c.filter((F.col("batch_id") > b) | ((F.col("batch_id") == b) & (F.col("n") > n)))
-        return c.orderBy("batch_id", "n")
+            c = c.filter(F.struct(*place) > F.struct(*[F.lit(x).cast("long").alias(p) for x, p in zip(since, place)]))
+        return c.orderBy(*place)
 
-
-def score_changes(changes: DataFrame) -> DataFrame:
-    """Across all matches: the messages in which a score changed."""
-    score = F.substring_index("text", " ", 1)
-    return changes.filter("type = 'state_changed'").select("batch_id", "n", "match_id", score.alias("score"))
+    def score_changes(self) -> DataFrame:
+        """Across all matches: each batch that left a match with another score, and that score."""
+        return self.spark.read.parquet(f"{self.root}/scores")
 
 
 def encoded(events: DataFrame, corrections: DataFrame) -> DataFrame:
