@@ -133,8 +133,41 @@ def kept(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Dat
 def op3_quality(spark, sf_dir):
     """All of `documents` by the quality rules."""
     d = inner(documents(spark, sf_dir), doc_id="doc_id", text="text", lang="lang")
-    return judged(d, keep=["doc_id"]).select("doc_id", "_q.*")
+    out = judged(d, keep=["doc_id"]).select("doc_id", "_q.*")
+    return out.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
+
+
+def _oracle() -> str:
+    """The same in SQL: histograms as lists, references as lists of sums."""
+    nth = lambda k: f"regexp_replace(t{k}, '{CLASSES[k][1].replace(chr(39), chr(39) * 2)}', '', 'g')"
+    steps = "".join(f", s{k + 1} AS (SELECT *, {nth(k)} AS t{k + 1} FROM s{k})" for k in range(len(CLASSES)))
+    lost = ", ".join(f"length(t{k}) - length(t{k + 1})" for k in range(len(CLASSES)))
+    sums = lambda name: f"SELECT lang, list(n ORDER BY k) AS {name} FROM (SELECT lang, k, sum({name}[k]) AS n FROM h, range(1, len({name}) + 1) AS r(k) GROUP BY lang, k) GROUP BY lang"
+    part = "CASE WHEN {x} > 0 THEN {x} * log2({x} / (({p}) + ({q})) * 2) ELSE 0 END"
+    p, q = "({a}[k] / greatest(1, list_sum({a})))", "({b}[k] / greatest(1, list_sum({b})))"
+    pair = part.replace("{x}", p) + " + " + part.replace("{x}", q)
+    jsd = lambda a, b: "sqrt(greatest(0, list_sum(list_transform(range(1, len({a}) + 1), lambda k: " .replace("{a}", a) + pair.replace("{p}", p).replace("{q}", q).replace("{a}", a).replace("{b}", b) + ")) / 2))"
+    return rf"""
+WITH s0 AS (SELECT doc_id, lang, coalesce(text, '') AS t0, list_filter(string_split_regex(coalesce(text, ''), '{BLANKS}'), lambda x: x <> '') AS ws FROM documents){steps},
+m AS (SELECT doc_id, lang, CAST(len(ws) AS BIGINT) AS n_words, [{lost}, length(t{len(CLASSES)})] AS chars,
+  list_transform({COMMON!r}, lambda c: len(list_filter(ws, lambda x: x = c OR x = upper(c[1]) || c[2:]))) AS common,
+  list_filter(string_split(t0, chr(10)), lambda x: length(regexp_replace(x, '{BLANKS}', '', 'g')) > 0) AS ls,
+  list_transform(range(1, len(ws) - {WINDOW} + 2), lambda i: array_to_string(ws[i:i + {WINDOW} - 1], ' ')) AS runs FROM s{len(CLASSES)}),
+twice AS (SELECT doc_id, list(i) AS starts FROM (SELECT doc_id, unnest(runs) AS s, unnest(range(1, len(runs) + 1)) AS i FROM m) SEMI JOIN
+  (SELECT doc_id, s FROM (SELECT doc_id, unnest(runs) AS s FROM m) GROUP BY doc_id, s HAVING count(*) > 1) USING (doc_id, s) GROUP BY doc_id),
+again AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, unnest(starts) AS i FROM twice), range(0, {WINDOW}) AS r(k) GROUP BY doc_id),
+h AS (SELECT doc_id, lang, n_words, chars, list_append(common, n_words - list_sum(common)) AS common, ls FROM m),
+ref AS (SELECT * FROM (SELECT lang, sum(n_words) AS ref_words FROM h GROUP BY lang) JOIN (SELECT lang AS l1, chars AS ref_chars FROM ({sums("chars")})) ON lang IS NOT DISTINCT FROM l1
+  JOIN (SELECT lang AS l2, common AS ref_common FROM ({sums("common")})) ON lang IS NOT DISTINCT FROM l2),
+j AS (SELECT h.*, coalesce(again.n, 0) AS n_repeat_words, n_words >= {LEAST_WORDS} AND ref_words >= {LEAST_REFERENCE} AS enough,
+  {jsd("chars", "ref_chars")} AS cd, {jsd("common", "ref_common")} AS wd FROM h JOIN ref ON h.lang IS NOT DISTINCT FROM ref.lang LEFT JOIN again USING (doc_id)),
+v AS (SELECT *, n_words < {BASE_WORDS} OR 100 * n_repeat_words > {BASE_REPEATED} * n_words AS base_failed FROM j)
+SELECT doc_id, n_words, CAST(list_sum(chars) - chars[3] AS BIGINT) AS word_chars, CAST(chars[7] AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+  CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, CASE WHEN enough THEN round(cd, 6) END AS char_distance, CASE WHEN enough THEN round(wd, 6) END AS word_distance,
+  NOT base_failed AND NOT (enough AND (cd > {CHAR_LIMIT} + {CHAR_SCATTER} / sqrt(greatest(1, n_words)) OR wd > {WORD_LIMIT} + {WORD_SCATTER} / sqrt(greatest(1, n_words)))) AS kept
+FROM v
+"""
 
 
 QUERIES = {"op3_quality": op3_quality}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op3_quality": _oracle()}
