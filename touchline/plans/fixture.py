@@ -101,15 +101,19 @@ FROM match_events WHERE type = 'Shot' AND period < 5 AND shot_outcome = 'Goal' A
 """
 
 RESULTS_REGION = """
+WITH places AS (
+  SELECT n_nationkey, n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS pos,
+         count(*) OVER (PARTITION BY n_regionkey) AS n
+  FROM nation
+)
 SELECT o.o_orderkey * 25 + a.n_nationkey AS match_id, CAST(year(o.o_orderdate) AS INT) AS season_id, o.o_orderdate AS kickoff,
        h.n_nationkey AS home_id, a.n_nationkey AS away_id, h.n_regionkey AS region_id,
        CAST((o.o_orderkey * 7 + o.o_custkey) % 5 AS INT) AS home_goals,
        CAST((o.o_orderkey * 11 + o.o_custkey * 3) % 4 AS INT) AS away_goals
 FROM orders o
 JOIN customer c ON c.c_custkey = o.o_custkey
-JOIN nation h ON h.n_nationkey = c.c_nationkey
-JOIN nation a ON a.n_regionkey = h.n_regionkey AND a.n_nationkey <> h.n_nationkey
-WHERE (a.n_nationkey + o.o_orderkey) % 25 < 6
+JOIN places h ON h.n_nationkey = c.c_nationkey
+JOIN places a ON a.n_regionkey = h.n_regionkey AND a.pos = (h.pos + 1 + o.o_orderkey % (h.n - 1)) % h.n
 """
 
 POSTS = """
