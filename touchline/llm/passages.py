@@ -31,7 +31,7 @@ WINDOW = 35
 #: A perfect difference set: every difference modulo 21 occurs.
 PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 #: Characters of text that a task holds as words at once (one text at least), and words whose hash it remembers.
-CHARS, MEMORY = 6_000_000, 500_000
+CHARS, MEMORY = 1_500_000, 100_000
 #: Bits of the filter of keys, at most.
 FILTER_BITS = 1 << 23
 U = np.uint64
@@ -112,12 +112,14 @@ def texts_of(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
     """Columns of some rows as lists, texts first, of bounded size together."""
     held, n = [], 0
     for b in batches:
-        for row in zip(*(b.column(c).to_pylist() for c in names), strict=True):
-            if held and n + len(row[0]) > CHARS:
-                yield tuple(zip(*held, strict=True))
-                held, n = [], 0
-            held.append(row)
-            n += len(row[0])
+        for k in range(0, b.num_rows, 100):
+            part = b.slice(k, 100)
+            for row in zip(*(part.column(c).to_pylist() for c in names), strict=True):
+                if held and n + len(row[0]) > CHARS:
+                    yield tuple(zip(*held, strict=True))
+                    held, n = [], 0
+                held.append(row)
+                n += len(row[0])
     if held:
         yield tuple(zip(*held, strict=True))
 
@@ -257,4 +259,12 @@ def op10_passages(spark, sf_dir):
 
 
 QUERIES = {"op10_passages": op10_passages}
-ORACLE: dict[str, str] = {}
+ORACLE = {"op10_passages": rf"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+ranks AS (SELECT doc_id, ws, unnest(range(1, len(ws) - {WINDOW} + 2)) AS i FROM w),
+runs AS (SELECT doc_id, i, array_to_string(ws[i:i + {WINDOW} - 1], ' ') AS s FROM ranks),
+twice AS (SELECT s FROM runs GROUP BY s HAVING count(*) > 1),
+gone AS (SELECT doc_id, list(DISTINCT i + k) AS js FROM runs JOIN twice USING (s), range(0, {WINDOW}) AS r(k) GROUP BY doc_id),
+kept AS (SELECT doc_id, ws, list_filter(ws, lambda x, j: js IS NULL OR NOT list_contains(js, j)) AS ks FROM w LEFT JOIN gone USING (doc_id))
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - len(ks) AS BIGINT) AS n_removed, sha256(array_to_string(ks, ' ')) AS kept_sha256 FROM kept
+"""}
