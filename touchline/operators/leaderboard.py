@@ -71,15 +71,13 @@ def player_match(
     keys = [k for k in MATCH_KEYS if k in events.columns]
     latest = [c for c in ("team", "player", "position") if c in events.columns]
 
-    def last(c: str) -> Column:
-        # an unknown name never hides a known one: its order key is null
-        return F.max_by(c, F.when(F.col(c).isNotNull(), F.col("idx"))).alias(c)
-
-    out = (
-        events.filter(F.col("player_id").isNotNull())
-        .groupBy(*keys, "player_id")
-        .agg(*[F.sum(METRICS[m][0]()).alias(m) for m in metrics], *[last(c) for c in latest])
-    )
+    # Over the raw events all buffers are numbers, so that Spark hashes and never sorts them;
+    # a player has one or two spellings per match, and the latest is picked among these.
+    spelt = events.filter(F.col("player_id").isNotNull()).groupBy(*keys, "player_id", *latest).agg(
+        *[F.sum(METRICS[m][0]()).alias(m) for m in metrics], F.max("idx").alias("_at"))
+    # an unknown name never hides a known one: its order key is null
+    last = [F.max_by(c, F.when(F.col(c).isNotNull(), F.col("_at"))).alias(c) for c in latest]
+    out = spelt.groupBy(*keys, "player_id").agg(*[F.sum(m).alias(m) for m in metrics], *last)
     if matches is not None:
         extra = [k for k in MATCH_KEYS if k not in keys]
         out = out.join(matches.select("match_id", *extra), "match_id")
