@@ -172,16 +172,15 @@ def players_catalog(rollup: DataFrame) -> DataFrame:
 
 
 def archive_size(events: DataFrame) -> DataFrame:
-    """Events, matches and players from one narrow pass.
+    """Events, matches and players from one narrow scan.
 
-    Distinct counts run on the (match, player) pairs, not on an expanded copy of
-    every event.
+    The pairs (match, player) are counted once; each pair is sent on twice, under
+    its match with its events and under its player, and groups are counted then.
     """
     pairs = events.groupBy("match_id", "player_id").agg(F.count(F.lit(1)).alias("n"))
-    per_match = pairs.groupBy("match_id").agg(F.sum("n").alias("n"))
-    total = per_match.agg(F.sum("n").alias("v"), F.count(F.lit(1)).alias("m"))
-    players = pairs.filter("player_id is not null").select("player_id").distinct().agg(F.count(F.lit(1)).alias("p"))
-    parts = total.select(F.col("v"), F.col("m"), F.lit(None).cast("long").alias("p")).unionByName(
-        players.select(F.lit(None).cast("long").alias("v"), F.lit(None).cast("long").alias("m"), "p")
-    )
-    return parts.agg(F.max("v").alias("events"), F.max("m").alias("matches"), F.max("p").alias("players"))
+    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("match_id").cast("string").alias("key"), "n"),
+                    F.struct(F.lit(1).alias("side"), F.col("player_id").cast("string").alias("key"), F.lit(0).cast("long").alias("n")))
+    groups = pairs.select(F.inline(sides)).groupBy("side", "key").agg(F.sum("n").alias("n"))
+    one = F.when(F.col("key").isNotNull(), F.col("side"))
+    # a null match is a group of its own, a null player is none
+    return groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("events"), F.count_if(F.col("side") == 0).alias("matches"), F.count_if(one == 1).alias("players"))
