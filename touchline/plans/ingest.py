@@ -17,6 +17,7 @@ from touchline.plans import tables as TB
 from touchline.plans.fixture import long, table, with_views
 from touchline.session import scratch
 from touchline.sources import api_football as AF
+from touchline.sources import capabilities as CP
 from touchline.sources import football_data as FD
 from touchline.sources import records as RC
 from touchline.sources import social as SS
@@ -265,7 +266,31 @@ def RC_report(spark, d):
     return RP.ledes(NA._goals(spark, d), NA.winners(spark, d))
 
 
+#: The feed of a derived match, and its short state there.
+FEED_OF = "CASE match_id % 3 WHEN 0 THEN 'statsbomb' WHEN 1 THEN 'football-data' ELSE 'api-football' END"
+SHORT = ("1H", "HT", "2H", "ET", "P", "LIVE", "BT", "FT", "AET", "PEN", "NS", "TBD", "PST")
+SHORT_OF = "CASE " + " ".join(f"WHEN match_id % {len(SHORT)} = {i} THEN '{s}'" for i, s in enumerate(SHORT)) + " END"
+
+
+def feed_gaps(spark, d):
+    """What the feed of each match doesn't provide, in words."""
+    return CP.missing(table(spark, d, "matches").select("match_id", F.expr(FEED_OF).alias("feed")))
+
+
+def api_football_status(spark, d):
+    return table(spark, d, "matches").select("match_id", F.expr(SHORT_OF).alias("short")).withColumn("status", AF.status(F.col("short")))
+
+
+def _gaps_sql() -> str:
+    sentence = lambda name, what: (CP.MISSING % (name, what)).replace("'", "''")
+    rows = [(f[0], c, sentence(f[1], CP.CALLED[c])) for f in CP.FEEDS for c, has in zip(CP.CALLED, f[2:]) if not has]
+    values = ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in rows)
+    return f"SELECT match_id, feed, capability, explanation FROM (SELECT match_id, {FEED_OF} AS feed FROM matches) JOIN (VALUES {values}) v(feed, capability, explanation) USING (feed)"
+
+
 QUERIES = {
+    "feed_gaps": feed_gaps,
+    "api_football_status": api_football_status,
     "statsbomb_events": statsbomb_events,
     "statsbomb_freeze_frames": freeze_frames,
     "nicknames": nicknamed,
@@ -312,6 +337,9 @@ def _me(q, *views, **ctes):
 
 
 ORACLE = {
+    "feed_gaps": with_views(_gaps_sql(), "matches"),
+    "api_football_status": with_views(f"""SELECT match_id, short, CASE WHEN short IN ('1H', '2H', 'ET', 'P', 'LIVE', 'BT') THEN 'live' WHEN short = 'HT' THEN 'half_time'
+        WHEN short IN ('FT', 'AET', 'PEN') THEN 'finished' ELSE 'scheduled' END AS status FROM (SELECT match_id, {SHORT_OF} AS short FROM matches)""", "matches"),
     "statsbomb_events": _me(f"SELECT {_sb}, round(shot_xg, 6) AS shot_xg, pass_shot_assist, pass_goal_assist FROM match_events"),
     "statsbomb_freeze_frames": _me("SELECT CAST(match_id AS BIGINT) AS match_id, CAST(event_id AS VARCHAR) AS event_id, y AS x, x AS y, TRUE AS teammate, TRUE AS keeper, player AS name FROM match_events WHERE type = 'Shot'"),
     "nicknames": _me("""SELECT CAST(match_id AS BIGINT) AS match_id, CAST(event_id AS VARCHAR) AS event_id, CAST(player_id AS VARCHAR) AS player_id, CASE WHEN player_id % 2 = 0 THEN concat('Nick ', player_id) ELSE player END AS player,
