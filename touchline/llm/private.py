@@ -47,7 +47,7 @@ CALLING = "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 52 55 61 64
 ANNOUNCES = "phone|tel|call|mobile|fax|mail|contact|address|card|visa|account|ssn|social|ip|host|token|key|secret|password|passwd"
 DENIES = "version|release|page|isbn|issn|doi|chapter|section|figure|total|sum"
 NEAR = 24
-LABELERS, ROUNDS, STEPS, SURE = 5, 30, 300, 0.9
+LABELERS, ROUNDS, STEPS, TRUST, SURE = 5, 50, 300, 0.2, 0.65
 
 SPANS = "array<struct<kind:string,start:int,end:int,s:string,base:boolean,strict:int>>"
 
@@ -133,20 +133,29 @@ def candidates(docs: DataFrame, text_col: str = "text", into: str = "_c") -> Dat
 
 
 def reliabilities(counts: dict[tuple, int]) -> dict[tuple, float]:
-    """EM: the probability of each pattern of votes (kind, v0, ...) to be personal data."""
-    p = {k: 1 / (1 + math.exp(-sum(k[1:]))) for k in counts}
+    """EM: the probability of each pattern of votes (kind, v0, ...) to be personal data.
+
+    A labeler has a chance to vote for among what is personal data, and another
+    among what isn't; where it doesn't vote it says nothing, for that follows from
+    the kind.  Before anything is seen, with the weight of TRUST of its votes, it
+    votes as often for as it does on the whole, a right vote being four times as likely
+    as a wrong one: so one that always votes alike says nothing, and the names of the
+    two classes can't change over.
+    """
+    p = {k: 1 / (1 + math.exp(-sum(k[1:]) - k[1])) for k in counts}  # a check that was made counts twice
+    total = sum(counts.values())
+    cast = [{v: 1 + sum(n for k, n in counts.items() if k[1 + j] == v) for v in (1, -1)} for j in range(LABELERS)]
     for _ in range(ROUNDS):
-        total = sum(counts.values())
         prior = (sum(p[k] * n for k, n in counts.items()) + 1) / (total + 2)
-        table = {}
+        for_it = {}
         for j, y in product(range(LABELERS), (0, 1)):
-            seen = {v: 1.0 for v in (-1, 0, 1)}
+            seen = {v: TRUST * n * (2.0 if (v > 0) == bool(y) else 0.5) for v, n in cast[j].items()}
             for k, n in counts.items():
-                seen[k[1 + j]] += n * (p[k] if y else 1 - p[k])
-            s = sum(seen.values())
-            table[j, y] = {v: x / s for v, x in seen.items()}
+                if k[1 + j]:
+                    seen[k[1 + j]] += n * (p[k] if y else 1 - p[k])
+            for_it[j, y] = {v: x / (seen[1] + seen[-1]) for v, x in seen.items()}
         for k in counts:
-            log = math.log(prior / (1 - prior)) + sum(math.log(table[j, 1][k[1 + j]] / table[j, 0][k[1 + j]]) for j in range(LABELERS))
+            log = math.log(prior / (1 - prior)) + sum(math.log(for_it[j, 1][k[1 + j]] / for_it[j, 0][k[1 + j]]) for j in range(LABELERS) if k[1 + j])
             p[k] = 1 / (1 + math.exp(-max(-30.0, min(30.0, log))))
     return p
 
