@@ -10,6 +10,7 @@ from touchline.session import cut
 
 #: What stands between words: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = r"[\x20\x09-\x0D]+"
+WORD = r"[^\x20\x09-\x0D]"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

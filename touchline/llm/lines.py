@@ -1,12 +1,13 @@
 """Fuzzy line dedup by MinHash.
 
-A line's shingles are runs of characters.  Its signature is taken over those
-shingles that begin a word (over all of them in lines of few words): the least
-of the shingles' hashes under several exclusive-ors.  Lines with an equal band of
-the signature share a bucket.  Each is compared with the bucket's first and last
-line by the exact Jaccard similarity of all their character shingles, the links
-go to a distributed union-find, and of each component the first line in the
-corpus stays.
+A line's shingles are runs of characters.  Its signature is taken over runs that
+begin a word (over all shingles in lines of few words).  Long lines have one
+permutation: the hashes are dealt to bins, and the least ones of a bin are a band.
+Shorter ones have several, exclusive-ors of the hash, and a band is the least
+hash under each of a few.  Lines with an equal band share a bucket.  Each is
+compared with the bucket's first and last line by the exact Jaccard similarity of
+all their character shingles, the links go to a distributed union-find, and of
+each component the first line in the corpus stays.
 
 Only DataFrame functions are used.  No pairs within a bucket are listed: the
 comparisons grow with the number of lines, however large a bucket is.
@@ -21,16 +22,18 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from touchline.llm.common import BLANKS, components, documents, inner, let
+from touchline.llm.common import BLANKS, WORD, components, documents, inner, let
 from touchline.session import cut
 
 #: Characters that a line needs to take part; shorter ones are never dropped.
 LEAST = 40
 SHINGLE, SIMILAR = 5, 0.8
-#: Characters from the start of a word that the signature looks at, bands, and rows of a band.
-HEAD, BANDS, ROWS = 7, 10, 4
-#: Lines of up to FEW words are signed by all their shingles, those of MANY or more by words; between, by both.
+#: Characters of a run that signs lines of few words, bands, and rows of a band.
+RUN, BANDS, ROWS = 7, 8, 3
+#: Lines of at most FEW words are signed by all their shingles, those of MANY or more by the starts of words.
 MANY, FEW = 8, 10
+#: Of the latter, those of LONG or more are signed by bins, those of at most MEDIUM by permutations.
+LONG, MEDIUM = 24, 28
 FLAGS = 1 << 21
 
 _draw = random.Random(7)
@@ -42,36 +45,48 @@ def lines_of(text: Column) -> Column:
 
 
 def shingles(line: Column, width: int = SHINGLE) -> Column:
-    """Hashes of all runs of `width` characters, each once."""
-    def runs(c: Column) -> Column:
-        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(c) - width))
-        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(*[F.coalesce(F.get(c, i + k), F.lit("")) for k in range(width)])))
+    """Hashes of all runs of `width` characters, each once; a shorter line is one run."""
+    def runs(raw: Column) -> Column:  # four bytes a character
+        starts = F.sequence(F.lit(0), F.greatest(F.lit(0), (F.octet_length(raw) / 4).cast("int") - width))
+        return F.array_distinct(F.transform(starts, lambda i: F.xxhash64(F.substring(raw, 4 * i + 1, F.lit(4 * width)))))
 
-    return let(F.split(line, ""), runs)
+    return let(F.encode(line, "UTF-32"), runs)
 
 
 def heads(words: Column) -> Column:
-    """Hashes of the first characters from each word on."""
-    def head(i: Column) -> Column:
-        return F.xxhash64(F.left(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)), F.lit(HEAD)))
+    """Hashes of the runs from the start of each word to the second character of the next."""
+    return F.transform(words, lambda w, i: F.xxhash64(w, F.left(F.get(words, i + 1), F.lit(2))))
 
-    return F.transform(F.sequence(F.lit(0), F.size(words) - 1), head)
 
+def by_permutations(h: Column, kind: int) -> Column:
+    least = lambda a, mask: F.array_min(F.transform(a, lambda x: x.bitwiseXOR(F.lit(mask))))
+    return let(h, lambda a: F.array(*[F.xxhash64(F.lit(kind * BANDS + b), *[least(a, MASKS[b * ROWS + r]) for r in range(ROWS)]) for b in range(BANDS)]))
 
-def bands(h: Column, kind: int) -> Column:
-    return let(h, lambda a: F.array(*[F.xxhash64(F.lit(kind * BANDS + b), *[_least(a, MASKS[b * ROWS + r]) for r in range(ROWS)]) for b in range(BANDS)]))
 
+def by_bins(h: Column, kind: int) -> Column:
+    """One key per bin that isn't empty: the ROWS least hashes in it; bins are the leading three bits."""
+    bin_of = lambda x: F.shiftright(x, 61)  # noqa: E731  from -4 to 3
 
-def _least(a: Column, mask: int) -> Column:
-    return F.array_min(F.transform(a, lambda x: x.bitwiseXOR(F.lit(mask))))
+    def first(a: Column) -> Column:
+        few = F.filter(a, lambda x, i: (i < ROWS) | (bin_of(F.get(a, i - ROWS)) != bin_of(x)))
+        return let(few, lambda f: F.array_compact(F.array(*[_key(f, b) for b in range(-4, 4)])))
+
+    def _key(f: Column, b: int) -> Column:
+        own = F.filter(f, lambda x: bin_of(x) == b)
+        return let(own, lambda o: F.when(F.size(o) > 0, F.xxhash64(F.lit(kind * BANDS + 4 + b), *[F.get(o, F.lit(r)) for r in range(ROWS)])))
+
+    return let(F.sort_array(h), first)
 
 
 def signed(line: Column) -> Column:
     """The bucket keys of a line."""
     none = F.array().cast("array<bigint>")
+    when = lambda cond, keys: F.when(cond, keys).otherwise(none)
 
     def keys(w: Column) -> Column:
-        return F.concat(F.when(F.size(w) >= MANY, bands(heads(w), 0)).otherwise(none), F.when(F.size(w) <= FEW, bands(shingles(line, HEAD), 1)).otherwise(none))
+        n = F.size(w)
+        by_heads = let(heads(w), lambda h: F.concat(when(n >= LONG, by_bins(h, 0)), when(n <= MEDIUM, by_permutations(h, 1))))
+        return F.concat(when(n >= MANY, by_heads), when(n <= FEW, by_permutations(shingles(line, RUN), 2)))
 
     return let(F.array_remove(F.split(line, BLANKS), ""), keys)
 
@@ -97,11 +112,24 @@ class Flags:
 def occurrences(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Every line that takes part: `id`, `dk` (hash of its document), `pos`, `lk` (hash of the line), `line`."""
     rows = docs.select("id", F.xxhash64("text").alias("dk"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
-    return rows.where((F.char_length("line") >= least) & (F.length(F.regexp_replace("line", BLANKS, "")) > 0)).withColumn("lk", F.xxhash64("line"))
+    return rows.where((F.char_length("line") >= least) & F.col("line").rlike(WORD)).withColumn("lk", F.xxhash64("line"))
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs whose lines are similar."""
+    both = pairs.join(texts.withColumnsRenamed({"lk": "u", "line": "a"}), "u").join(texts.withColumnsRenamed({"lk": "v", "line": "b"}), "v")
+    sets = both.select("u", "v", shingles(F.col("a")).alias("a"), shingles(F.col("b")).alias("b"))
+    shared = sets.withColumn("n", F.size(F.array_intersect("a", "b")))
+    return shared.where(F.col("n") >= SIMILAR * (F.size("a") + F.size("b") - F.col("n"))).select("u", "v")
+
 
+def classes(docs: DataFrame, signatures: DataFrame) -> DataFrame:
+    """`node`, `root` of the line hashes that are similar to another; `signatures` has `lk`, `keys`.
 
-def links(docs: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Pairs `u`, `v` of line hashes whose lines are similar; `signatures` has `lk`, `keys`."""
+    Every line is compared with the first and last line of each of its buckets.
+    First with one of them; of the other comparisons only those are left whose ends
+    aren't in one component already, for they can't change anything.
+    """
     spark = docs.sparkSession
     w = W.partitionBy("key")
     rows = signatures.select("lk", F.explode("keys").alias("key"))
@@ -111,17 +139,19 @@ def links(docs: DataFrame, signatures: DataFrame) -> DataFrame:
     ends = pairs.select(F.col("u").alias("lk")).union(pairs.select("v")).distinct()
     texts = occurrences(docs).where(Flags(spark, ends, "lk").has(F.col("lk"))).select("lk", "line").join(ends, "lk", "left_semi")
     texts = cut(texts.groupBy("lk").agg(F.first("line").alias("line")), "line-texts")
-    both = pairs.join(texts.withColumnsRenamed({"lk": "u", "line": "a"}), "u").join(texts.withColumnsRenamed({"lk": "v", "line": "b"}), "v")
-    sets = both.select("u", "v", shingles(F.col("a")).alias("a"), shingles(F.col("b")).alias("b"))
-    shared = sets.withColumn("n", F.size(F.array_intersect("a", "b")))
-    return shared.where(F.col("n") >= SIMILAR * (F.size("a") + F.size("b") - F.col("n"))).select("u", "v")
+    some = cut(verified(pairs.groupBy("v").agg(F.min("u").alias("u")), texts), "line-links")
+    roots = cut(components(some), "line-roots")
+    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
+    rest = pairs.join(pairs.groupBy("v").agg(F.min("u").alias("u")), ["u", "v"], "left_anti")
+    rest = rest.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
+    return components(some.select("u", "v").union(verified(rest, texts)))
 
 
 def dropped(docs: DataFrame) -> DataFrame:
     """`id`, `dk`, `gone`: the numbers of the lines that go, for documents that lose any."""
     occ = occurrences(docs).select("id", "dk", "pos", "lk", signed(F.col("line")).alias("keys"))
     occ = cut(occ, "lines")
-    roots = cut(components(links(docs, occ.select("lk", "keys"))), "line-roots").withColumnsRenamed({"node": "lk"})
+    roots = cut(classes(docs, occ.select("lk", "keys")), "line-roots").withColumnsRenamed({"node": "lk"})
     own = occ.select("id", "dk", "pos", "lk").join(roots, "lk", "left").withColumn("root", F.coalesce("root", "lk"))
     own = cut(own.select("id", "dk", "pos", "root"), "line-classes")
     first = cut(own.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "dk", "pos")).alias("f")).where("n > 1").select("root", "f"), "line-firsts")
