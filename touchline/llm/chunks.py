@@ -45,8 +45,13 @@ class Remembered:
             self.plain.clear()
             self.spaced.clear()
         for known, at, lead in ((self.plain, 0, ""), (self.spaced, 1, " ")):
-            new = list({w for c in cut for w in c[at]}.difference(known))
+            new = set().union(*[c[at] for c in cut]).difference(known)
+            # Letters and a mark after them are never one match either.
+            marked = [w for w in new if w[-1] in ",." and w[:-1].isalpha()]
+            new = list(new.difference(marked).union({w[:-1] for w in marked}.difference(known)))
             known.update(zip(new, self.fresh([lead + w for w in new]), strict=True))
+            ends = dict(zip(",.", self.fresh([",", "."]), strict=True)) if marked else {}
+            known.update({w: known[w[:-1]] + ends[w[-1]] for w in marked})
         plain, spaced = self.plain.__getitem__, self.spaced.__getitem__
         return [b"".join([*map(plain, a), *map(spaced, b)]) for a, b in cut]
 

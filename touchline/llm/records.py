@@ -15,8 +15,10 @@ stays telling.  With the index a reader can fetch records in any order.
 from __future__ import annotations
 
 import functools
+import os
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,13 +75,14 @@ def name(shard: int, kind: str) -> str:
 
 @functools.lru_cache(maxsize=2)
 def tokenizer(source: str) -> Remembered:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(source)
     t.encode_special_tokens = True  # their strings are ordinary text
 
     def fresh(new: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in t.encode_batch_fast(new, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in t.encode_batch_fast(new, add_special_tokens=False)]
 
     return Remembered(fresh)
 
