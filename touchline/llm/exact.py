@@ -84,7 +84,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     """
     rows = cut(named(docs, id_col, text_col, block_bytes), "identities")
     same = ["n_blocks", "name"]
-    groups = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("id", "row")).alias("top"))
+    groups = cut(rows.groupBy(*same).agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("id", "row")).alias("top")), "groups")  # a join of its own splits a large group
     return rows.join(groups, same).select(
         "id", F.col("top.id").alias("keep_id"), "group_size", (F.col("row") == F.col("top.row")).alias("kept"), "text_sha256", "n_blocks", "name")
 
