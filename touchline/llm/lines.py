@@ -1,16 +1,16 @@
 """Fuzzy line dedup by MinHash.
 
-A line's shingles are runs of characters.  Its signature is taken over runs that
-begin a word (over all shingles in lines of few words).  Long lines have one
-permutation: the hashes are dealt to bins, and the least ones of a bin are a band.
+A line's shingles are its runs of five characters.  Its signature is taken over
+those that begin with one of some frequent characters, and over all of them where
+these are few, so that it follows the characters whatever the words are.  Long
+lines have one permutation: a band is the hashes that follow a starting point.
 Shorter ones have several, exclusive-ors of the hash, and a band is the least
-hash under each of a few.  Lines with an equal band share a bucket.  Each is
-compared with the bucket's first and last line by the exact Jaccard similarity of
-all their character shingles, the links go to a distributed union-find, and of
-each component the first line in the corpus stays.
+hash under each of a few.  Lines with an equal band share a bucket.  Each is compared
+with the bucket's first and last line by the exact Jaccard similarity of all their
+shingles; the links go to a distributed union-find, and of each component the
+first line in the corpus stays.
 
-Only DataFrame functions are used.  No pairs within a bucket are listed: the
-comparisons grow with the number of lines, however large a bucket is.
+Only DataFrame functions are used.  No pairs within a bucket are listed.
 """
 
 from __future__ import annotations
@@ -28,15 +28,19 @@ from touchline.session import cut
 #: Characters that a line needs to take part; shorter ones are never dropped.
 LEAST = 40
 SHINGLE, SIMILAR = 5, 0.8
-#: Characters of a run that signs lines of few words, bands, and rows of a band.
-RUN, BANDS, ROWS = 7, 8, 3
-#: Lines of at most FEW words are signed by all their shingles, those of MANY or more by the starts of words.
-MANY, FEW = 8, 10
-#: Of the latter, those of LONG or more are signed by bins, those of at most MEDIUM by permutations.
-LONG, MEDIUM = 24, 28
+#: Bands, and rows of a band.
+BANDS, ROWS = 12, 4
+#: Where a sampled run begins: at some of the letters, digits and signs that are frequent, and at any character beyond Latin-1.
+SAMPLE = r"[aeotnAEOTN147/.,\-|_\x{c0}-\x{ff}\x{100}-\x{10ffff}]"
+#: Lines are signed by their sampled runs if these are at least SOME and one in THIN characters, the others by all
+#: shingles; those that are above this by no more than the factor 1 / SPARE by both, as a similar line may be below.
+SOME, THIN, SPARE = 40, 8, 0.7
+#: Of the lines signed by all shingles, those of at most FEW by permutations.
+FEW = 40
 FLAGS = 1 << 21
 
 _draw = random.Random(7)
+STARTS = [(b << 60) // BANDS * 16 - (1 << 63) for b in range(BANDS)]
 MASKS = [_draw.randint(-sys.maxsize, sys.maxsize) for _ in range(BANDS * ROWS)]
 
 
@@ -53,9 +57,10 @@ def shingles(line: Column, width: int = SHINGLE) -> Column:
     return let(F.encode(line, "UTF-32"), runs)
 
 
-def heads(words: Column) -> Column:
-    """Hashes of the runs from the start of each word to the second character of the next."""
-    return F.transform(words, lambda w, i: F.xxhash64(w, F.left(F.get(words, i + 1), F.lit(2))))
+def sampled(line: Column, pattern: str) -> Column:
+    """Hashes of the runs of SHINGLE characters that begin where `pattern` says, each once."""
+    runs = F.regexp_extract_all(line, F.lit(f"(?s)(?={pattern})(?=(.{{{SHINGLE}}}))"), F.lit(1))
+    return F.array_distinct(F.transform(runs, lambda x: F.xxhash64(x)))
 
 
 def by_permutations(h: Column, kind: int) -> Column:
@@ -63,19 +68,16 @@ def by_permutations(h: Column, kind: int) -> Column:
     return let(h, lambda a: F.array(*[F.xxhash64(F.lit(kind * BANDS + b), *[least(a, MASKS[b * ROWS + r]) for r in range(ROWS)]) for b in range(BANDS)]))
 
 
-def by_bins(h: Column, kind: int) -> Column:
-    """One key per bin that isn't empty: the ROWS least hashes in it; bins are the leading three bits."""
-    bin_of = lambda x: F.shiftright(x, 61)  # noqa: E731  from -4 to 3
+def by_turns(h: Column, kind: int) -> Column:
+    """One key per starting point: the ROWS hashes that follow it, the least after the greatest."""
+    def keys(a: Column) -> Column:
+        mixed = F.sort_array(F.concat(a, F.array(*[F.lit(x) for x in STARTS])))
+        return let(mixed, lambda m: F.array(*[_key(a, (F.array_position(m, F.lit(x)) - 1 - b).cast("int"), b) for b, x in enumerate(STARTS)]))
 
-    def first(a: Column) -> Column:
-        few = F.filter(a, lambda x, i: (i < ROWS) | (bin_of(F.get(a, i - ROWS)) != bin_of(x)))
-        return let(few, lambda f: F.array_compact(F.array(*[_key(f, b) for b in range(-4, 4)])))
+    def _key(a: Column, at: Column, b: int) -> Column:
+        return F.xxhash64(F.lit(kind * BANDS + b), *[F.get(a, (at + r) % F.greatest(F.size(a), F.lit(1))) for r in range(ROWS)])
 
-    def _key(f: Column, b: int) -> Column:
-        own = F.filter(f, lambda x: bin_of(x) == b)
-        return let(own, lambda o: F.when(F.size(o) > 0, F.xxhash64(F.lit(kind * BANDS + 4 + b), *[F.get(o, F.lit(r)) for r in range(ROWS)])))
-
-    return let(F.sort_array(h), first)
+    return let(F.sort_array(h), keys)
 
 
 def signed(line: Column) -> Column:
@@ -83,12 +85,15 @@ def signed(line: Column) -> Column:
     none = F.array().cast("array<bigint>")
     when = lambda cond, keys: F.when(cond, keys).otherwise(none)
 
-    def keys(w: Column) -> Column:
-        n = F.size(w)
-        by_heads = let(heads(w), lambda h: F.concat(when(n >= LONG, by_bins(h, 0)), when(n <= MEDIUM, by_permutations(h, 1))))
-        return F.concat(when(n >= MANY, by_heads), when(n <= FEW, by_permutations(shingles(line, RUN), 2)))
+    def whole(h: Column) -> Column:
+        return F.concat(when(F.size(h) >= SIMILAR * FEW, by_turns(h, 1)), when(F.size(h) <= FEW, by_permutations(h, 2)))
+
+    def keys(s: Column) -> Column:
+        n, chars = F.size(s), F.char_length(line)
+        return F.concat(when((n >= SOME) & (n * THIN >= chars), by_turns(s, 0)),
+                        when((n < SOME / SPARE) | (n * THIN * SPARE < chars), let(shingles(line), whole)))
 
-    return let(F.array_remove(F.split(line, BLANKS), ""), keys)
+    return let(sampled(line, SAMPLE), keys)
 
 
 class Flags:
