@@ -39,3 +39,20 @@ def test_similar_lines_share_a_bucket(spark):
     d = spark.createDataFrame(rows, "kind string, a string, b string").repartition(4)
     shares = d.select("kind", F.arrays_overlap(lines.signed(F.col("a")), lines.signed(F.col("b"))).cast("int").alias("s")).groupBy("kind").agg(F.avg("s").alias("s"))
     assert {x["kind"]: x["s"] for x in shares.collect() if x["s"] < 0.97} == {}
+
+
+def test_no_pair_of_a_bucket_is_missed(spark, monkeypatch):
+    monkeypatch.setattr(lines, "LISTED", 6)
+    r = random.Random(12)
+    base = [prose(r, 20) for _ in range(7)]
+    texts = base + [edited(r, x, k) for x in base[:3] for k in (1, 2, 3, 4)]
+    texts = list(dict.fromkeys(texts))
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    occ = lines.occurrences(docs).select("lk", "line").collect()
+    want = components(len(occ), lambda i, j: similar(occ[i]["line"], occ[j]["line"]))
+    one = spark.createDataFrame([(x["lk"], [7]) for x in occ], "lk long, keys array<long>")
+    got = {x["node"]: x["root"] for x in lines.classes(docs, one).collect()}
+    by = defaultdict(set)
+    for x, c in zip(occ, want, strict=True):
+        by[c].add(got.get(x["lk"], x["lk"]))
+    assert max(Counter(want).values()) > 3 and all(len(s) == 1 for s in by.values()) and len(set().union(*by.values())) == len(by)

@@ -5,12 +5,13 @@ those that begin with one of some frequent characters, and over all of them wher
 these are few, so that it follows the characters whatever the words are.  Long
 lines have one permutation: a band is the hashes that follow a starting point.
 Shorter ones have several, exclusive-ors of the hash, and a band is the least
-hash under each of a few.  Lines with an equal band share a bucket.  Each is compared
-with the bucket's first and last line by the exact Jaccard similarity of all their
+hash under each of a few.  Lines with an equal band share a bucket.  Similar lines
+of a bucket end in one component, by the exact Jaccard similarity of all their
 shingles; the links go to a distributed union-find, and of each component the
 first line in the corpus stays.
 
-Only DataFrame functions are used.  No pairs within a bucket are listed.
+Only DataFrame functions are used.  Pairs are listed within small buckets only:
+in larger ones the lines like the first leave it, round by round.
 """
 
 from __future__ import annotations
@@ -37,6 +38,10 @@ SAMPLE = r"[aeotnAEOTN147/.,\-|_\x{c0}-\x{ff}\x{100}-\x{10ffff}]"
 SOME, THIN, SPARE = 40, 8, 0.7
 #: Of the lines signed by all shingles, those of at most FEW by permutations.
 FEW = 40
+#: Buckets of at most this many lines have all their pairs compared at once, larger ones in rounds.
+LISTED = 100
+#: A line less alike than NEAR to a second isn't similar to any that is similar to this one, as 1 - Jaccard is a metric.
+NEAR = 2 * SIMILAR - 1
 FLAGS = 1 << 21
 
 _draw = random.Random(7)
@@ -120,36 +125,52 @@ def occurrences(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return rows.where((F.char_length("line") >= least) & F.col("line").rlike(WORD)).withColumn("lk", F.xxhash64("line"))
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs whose lines are similar."""
+def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs with `shared` and `all`, how many shingles are in both lines and in either."""
     both = pairs.join(texts.withColumnsRenamed({"lk": "u", "line": "a"}), "u").join(texts.withColumnsRenamed({"lk": "v", "line": "b"}), "v")
     sets = both.select("u", "v", shingles(F.col("a")).alias("a"), shingles(F.col("b")).alias("b"))
-    shared = sets.withColumn("n", F.size(F.array_intersect("a", "b")))
-    return shared.where(F.col("n") >= SIMILAR * (F.size("a") + F.size("b") - F.col("n"))).select("u", "v")
+    return sets.select("u", "v", F.size("a").alias("na"), F.size("b").alias("nb"), F.size(F.array_intersect("a", "b")).alias("shared")).select(
+        "u", "v", "shared", (F.col("na") + F.col("nb") - F.col("shared")).alias("all"))
 
 
 def classes(docs: DataFrame, signatures: DataFrame) -> DataFrame:
     """`node`, `root` of the line hashes that are similar to another; `signatures` has `lk`, `keys`.
 
-    Every line is compared with the first and last line of each of its buckets.
-    First with one of them; of the other comparisons only those are left whose ends
-    aren't in one component already, for they can't change anything.
+    Of any two lines of a bucket that are similar, both end in one component.  A
+    round compares a bucket's lines with its first.  Those similar to it leave the
+    bucket: they are one component, and of the rest they need only be compared with
+    those that are NEAR to the first.  If few lines are left, all their pairs are
+    compared, else they are the bucket of the next round.  Pairs whose ends are in
+    one component already can't change anything and are left out.
     """
     spark = docs.sparkSession
     w = W.partitionBy("key")
     rows = signatures.select("lk", F.explode("keys").alias("key"))
-    rows = rows.select("lk", F.min("lk").over(w).alias("lo"), F.max("lk").over(w).alias("hi")).where("lo <> hi")
-    pairs = cut(rows.select(F.explode(F.array(F.struct("lk", F.col("lo").alias("to")), F.struct("lk", F.col("hi").alias("to")))).alias("x")).select(
-        F.least("x.lk", "x.to").alias("u"), F.greatest("x.lk", "x.to").alias("v")).where("u <> v").distinct(), "line-pairs")
-    ends = pairs.select(F.col("u").alias("lk")).union(pairs.select("v")).distinct()
+    rows = cut(rows.select("key", "lk", F.min("lk").over(w).alias("lo"), F.max("lk").over(w).alias("hi")).where("lo <> hi").select("key", "lk").distinct(), "line-buckets")
+    ends = rows.select("lk").distinct()
     texts = occurrences(docs).where(Flags(spark, ends, "lk").has(F.col("lk"))).select("lk", "line").join(ends, "lk", "left_semi")
     texts = cut(texts.groupBy("lk").agg(F.first("line").alias("line")), "line-texts")
-    some = cut(verified(pairs.groupBy("v").agg(F.min("u").alias("u")), texts), "line-links")
-    roots = cut(components(some), "line-roots")
-    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
-    rest = pairs.join(pairs.groupBy("v").agg(F.min("u").alias("u")), ["u", "v"], "left_anti")
-    rest = rest.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
-    return components(some.select("u", "v").union(verified(rest, texts)))
+    links = None
+    while True:
+        stars = rows.join(rows.groupBy("key").agg(F.min("lk").alias("lo")), "key").where("lk <> lo")
+        seen = cut(compared(stars.select(F.col("lo").alias("u"), F.col("lk").alias("v")).distinct(), texts), "line-stars")
+        similar = lambda df: df.where(F.col("shared") >= SIMILAR * F.col("all")).select("u", "v")
+        links = similar(seen) if links is None else links.union(similar(seen))
+        roots = cut(components(links), "line-roots")
+        kind = F.when(F.col("shared") >= SIMILAR * F.col("all"), 2).when(F.col("shared") >= NEAR * F.col("all"), 1).otherwise(0)
+        stars = cut(stars.join(seen.select(F.col("u").alias("lo"), F.col("v").alias("lk"), kind.alias("kind")), ["lo", "lk"]).select("key", "lk", "kind"), "line-kinds")
+        rest = stars.where("kind < 2").select("key", "lk")
+        sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        few = rest.join(sizes.where(f"n between 2 and {LISTED}"), "key").select("key", F.col("lk").alias("u"))
+        pairs = few.join(few.withColumnRenamed("u", "v"), "key").where("u < v").select("u", "v")
+        across = stars.where("kind = 2").select("key", F.col("lk").alias("a")).join(stars.where("kind = 1").select("key", F.col("lk").alias("b")), "key")
+        pairs = pairs.union(across.select(F.least("a", "b"), F.greatest("a", "b"))).distinct()
+        of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
+        pairs = pairs.join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
+        links = links.union(similar(cut(compared(pairs, texts), "line-pairs")))
+        rows = cut(rest.join(sizes.where(f"n > {LISTED}"), "key").select("key", "lk"), "line-buckets")
+        if rows.isEmpty():
+            return components(links)
 
 
 def dropped(docs: DataFrame) -> DataFrame:
