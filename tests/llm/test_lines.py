@@ -56,3 +56,17 @@ def test_no_pair_of_a_bucket_is_missed(spark, monkeypatch):
     for x, c in zip(occ, want, strict=True):
         by[c].add(got.get(x["lk"], x["lk"]))
     assert max(Counter(want).values()) > 3 and all(len(s) == 1 for s in by.values()) and len(set().union(*by.values())) == len(by)
+
+
+def test_short_lines_take_part(spark):
+    rows = [(1, "Home\nAbout us\n\n--\nx"), (2, "Home\nAbout us\n\n--\nx"), (3, "About us here and there\nAbout us here and there.\n \n"), (4, "x\ny")]
+    got = {x["doc_id"]: sorted(x["_gone"]) for x in lines.dedup(table(spark, rows), least=1).collect()}
+    assert got == {1: [], 2: [0, 1, 3, 4], 3: [1], 4: [0]}
+
+
+def test_no_copy_is_left(spark):
+    sf = "/root/testdata/sf0.001"
+    out = lines.op7_line_dedup(spark, sf).select("doc_id", "dropped").collect()
+    gone = {x["doc_id"]: {int(k) for k in x["dropped"].split(",") if k} for x in out}
+    left = Counter(t for x in spark.read.parquet(f"{sf}/documents.parquet").collect() for k, t in enumerate((x["text"] or "").split("\n")) if t.strip(" \t\n\v\f\r") and k not in gone[x["doc_id"]])
+    assert max(left.values()) == 1

@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from touchline.llm.common import BLANKS, WORD, components, documents, inner, let
 from touchline.session import cut
 
-#: Characters that a line needs to take part; shorter ones are never dropped.
+#: Characters that a line needs to take part if the caller says nothing; op7 and the pipeline take every line with a word.
 LEAST = 40
 SHINGLE, SIMILAR = 5, 0.8
 #: Bands, and rows of a band.
@@ -133,7 +133,7 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
         "u", "v", "shared", (F.col("na") + F.col("nb") - F.col("shared")).alias("all"))
 
 
-def classes(docs: DataFrame, signatures: DataFrame) -> DataFrame:
+def classes(docs: DataFrame, signatures: DataFrame, least: int = LEAST) -> DataFrame:
     """`node`, `root` of the line hashes that are similar to another; `signatures` has `lk`, `keys`.
 
     Of any two lines of a bucket that are similar, both end in one component.  A
@@ -148,7 +148,7 @@ def classes(docs: DataFrame, signatures: DataFrame) -> DataFrame:
     rows = signatures.select("lk", F.explode("keys").alias("key"))
     rows = cut(rows.select("key", "lk", F.min("lk").over(w).alias("lo"), F.max("lk").over(w).alias("hi")).where("lo <> hi").select("key", "lk").distinct(), "line-buckets")
     ends = rows.select("lk").distinct()
-    texts = occurrences(docs).where(Flags(spark, ends, "lk").has(F.col("lk"))).select("lk", "line").join(ends, "lk", "left_semi")
+    texts = occurrences(docs, least).where(Flags(spark, ends, "lk").has(F.col("lk"))).select("lk", "line").join(ends, "lk", "left_semi")
     texts = cut(texts.groupBy("lk").agg(F.first("line").alias("line")), "line-texts")
     links = None
     while True:
@@ -173,11 +173,11 @@ def classes(docs: DataFrame, signatures: DataFrame) -> DataFrame:
             return components(links)
 
 
-def dropped(docs: DataFrame) -> DataFrame:
+def dropped(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """`id`, `dk`, `gone`: the numbers of the lines that go, for documents that lose any."""
-    occ = occurrences(docs).select("id", "dk", "pos", "lk", signed(F.col("line")).alias("keys"))
+    occ = occurrences(docs, least).select("id", "dk", "pos", "lk", signed(F.col("line")).alias("keys"))
     occ = cut(occ, "lines")
-    roots = cut(classes(docs, occ.select("lk", "keys")), "line-roots").withColumnsRenamed({"node": "lk"})
+    roots = cut(classes(docs, occ.select("lk", "keys"), least), "line-roots").withColumnsRenamed({"node": "lk"})
     own = occ.select("id", "dk", "pos", "lk").join(roots, "lk", "left").withColumn("root", F.coalesce("root", "lk"))
     own = cut(own.select("id", "dk", "pos", "root"), "line-classes")
     first = cut(own.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "dk", "pos")).alias("f")).where("n > 1").select("root", "f"), "line-firsts")
@@ -185,17 +185,17 @@ def dropped(docs: DataFrame) -> DataFrame:
     return cut(gone.groupBy("id", "dk").agg(F.collect_set("pos").alias("gone")), "line-drops")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", into: str = "_gone") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", into: str = "_gone", least: int = LEAST) -> DataFrame:
     """`docs` with the text left to each document and, in `into`, the numbers of its dropped lines.
 
     Of each component of similar lines the first stays: the one with the smallest
     id (null before all), then by hash of the text and number of the line.  Lines
-    of fewer than LEAST characters or without a word always stay.  A null text stays
+    of fewer than `least` characters or without a word always stay.  A null text stays
     null; a text that loses all lines becomes empty.  Rows equal in id and text
     share their lot.  Line ends are line feeds.  An empty table stays empty.
     """
     d = inner(docs, id=id_col, text=text_col)
-    gone = dropped(d.select("id", F.coalesce("text", F.lit("")).alias("text")))
+    gone = dropped(d.select("id", F.coalesce("text", F.lit("")).alias("text")), least)
     none = F.array().cast("array<int>")
     hit, dk = Flags(docs.sparkSession, gone, "dk"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     clean = docs.where(~hit.has(dk)).withColumn(into, none)
@@ -206,14 +206,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", into:
     return clean.select(*[f"`{c}`" for c in docs.columns], into).union(rest.select(*[f"`{c}`" for c in docs.columns], into))
 
 
-def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST) -> DataFrame:
     """`docs` with the lines that stay; other columns as they are."""
-    return dedup(docs, id_col, text_col, "_gone").drop("_gone")
+    return dedup(docs, id_col, text_col, "_gone", least).drop("_gone")
 
 
 def op7_line_dedup(spark, sf_dir):
     """`documents` without lines like an earlier one: what each loses and the digest of what stays."""
-    d = dedup(inner(documents(spark, sf_dir), doc_id="doc_id", text="text"))
+    d = dedup(inner(documents(spark, sf_dir), doc_id="doc_id", text="text"), least=1)
     return d.select("doc_id", F.size("_gone").cast("long").alias("n_dropped"), F.array_join(F.sort_array("_gone"), ",").alias("dropped"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
