@@ -2,6 +2,7 @@
 
 import base64
 import random
+import tempfile
 import zlib
 
 import numpy as np
@@ -102,6 +103,20 @@ def test_records_round_trip(spark):
     assert sorted(shuffled, key=key) == want != shuffled
 
 
+def test_special_tokens_as_the_library_does():
+    source = open(P.path("byte_bpe_50k.json")).read()
+    t = Tokenizer.from_str(source)
+    ts = [*texts(3000, 12), "a <|endoftext|> b", "a<|endoftext|>. b", "x  <|endoftext|>\n", "end <|endoftext|>,"]
+    for x, got in zip(ts, records.tokenizer(source, True).encode(ts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+
+
+def test_op1_keeps_special_tokens(spark):
+    path = tempfile.mkdtemp(prefix="spark-")
+    spark.createDataFrame([(1, "a <|endoftext|> b")], "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
+    assert records.op1_token_records(spark, path).first()["n_tokens"] == 5
+
+
 def test_no_records(spark):
     path = scratch(spark, "records")
     records.write(docs(spark)[1].limit(0), path, P.path("byte_bpe_50k.json"))

@@ -74,12 +74,13 @@ def name(shard: int, kind: str) -> str:
 
 
 @functools.lru_cache(maxsize=2)
-def tokenizer(source: str) -> Remembered:
+def tokenizer(source: str, special: bool = False) -> Remembered:
+    """Encodes as the library does; `special`: the strings of added special tokens become their ids, as is its default."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_str(source)
-    t.encode_special_tokens = True  # their strings are ordinary text
+    t.encode_special_tokens = not special  # if so, their strings are ordinary text
 
     def fresh(new: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in t.encode_batch_fast(new, add_special_tokens=False)]
@@ -87,7 +88,7 @@ def tokenizer(source: str) -> Remembered:
     return Remembered(fresh)
 
 
-def write(docs: DataFrame, path: str, tokenizer_file: str, end: int | None = 0, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> DataFrame:
+def write(docs: DataFrame, path: str, tokenizer_file: str, end: int | None = 0, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None, special: bool = False) -> DataFrame:
     """Encode every text, add `end` to each and write the records; returns the manifest.
 
     Documents go to shards by ranges of (id, hash of the text), null ids first;
@@ -95,7 +96,8 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end: int | None = 0,
     `shards` defaults to Spark's number of shuffle partitions; an empty shard has
     no files.  Null texts count as empty.  A task writes its shard under a name of
     its own attempt and renames it when it is whole, so a task that is lost or
-    runs twice leaves the same files.
+    runs twice leaves the same files.  With `special`, the strings of special tokens
+    in a text are encoded as these, as the library does by default.
     """
     spark = docs.sparkSession
     with open(tokenizer_file) as f:
@@ -114,7 +116,7 @@ def write(docs: DataFrame, path: str, tokenizer_file: str, end: int | None = 0,
                 if out is None:
                     out = [files.open_output_stream(own[k]) for k in own]
                 block, places = [], []
-                for raw in tokenizer(source.value).encode(some):
+                for raw in tokenizer(source.value, special).encode(some):
                     seq = np.concatenate([np.frombuffer(raw, "<u4"), *last])
                     block.append(r := frame(next(ids), seq))
                     places.append(entry(at, len(r), tokens))
@@ -234,7 +236,7 @@ def op1_token_records(spark, sf_dir):
     import public_tokenizers as P
 
     path = scratch(spark, "records")
-    write(documents(spark, sf_dir), path, P.path("byte_bpe_50k.json"))
+    write(documents(spark, sf_dir), path, P.path("byte_bpe_50k.json"), special=True)
     return read(spark, path).select(F.col("id").alias("doc_id"), "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
