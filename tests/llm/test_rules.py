@@ -134,6 +134,15 @@ def test_licenses(spark):
     assert licenses.scan(table(spark, rows).limit(0)).count() == 0
 
 
+def test_other_licenses_are_not_taken_for_a_template(spark):
+    t = licenses.TEMPLATES
+    others = ["Released under the BSD License.", "Licensed under CC BY 4.0.", t["GPL-3.0"].replace("3", "2"), t["CC-BY-4.0"].replace("Attribution", "Attribution-NonCommercial"),
+              t["GPL-3.0 header"].replace("version 3", "version 2"), t["GPL-3.0 header"].replace("GNU General", "GNU Lesser General"), "Licensed under the Apache License, Version 1.1."]
+    assert licenses.scan(table(spark, [(i, x, "en", "s") for i, x in enumerate(others)])).collect() == []
+    got = licenses.scan(table(spark, [(i, f"One two. {x} Three.", "en", "s") for i, x in enumerate(t.values())])).collect()
+    assert {(x["id"], x["license"], x["first_word"]) for x in got} >= {(i, k, 2) for i, k in enumerate(t)}
+
+
 def test_longest_chain():
     r = random.Random(6)
     for _ in range(200):

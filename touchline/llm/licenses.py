@@ -48,6 +48,10 @@ this permission notice appear in all copies.""",
 }
 #: The least coverage that is reported, and the widest gap within a match, as a share of the template's length.
 COVERED, GAP = 0.8, 0.5
+#: Notices of at most so many words must be there word for word: one word makes another license of them.
+NOTICE = 20
+#: Word for word within a match too: what tells a license from others with nearly its text.
+TELLING = {"Apache-2.0 header": ["apache license version 2 0"], "GPL-3.0 header": ["gnu general public license", "version 3"]}
 PLAIN = str.maketrans(dict.fromkeys(string.punctuation, " "))
 
 
@@ -124,11 +128,19 @@ def enough(have: Counter, b: list[str]) -> bool:
     return sum(min(n, have[w]) for w, n in Counter(b).items()) >= COVERED * len(b)
 
 
+def found_at(phrase: str, text: list[str]) -> int | None:
+    """The first place of a phrase, given as words with a space between them."""
+    whole = f" {' '.join(text)} "
+    at = whole.find(f" {phrase} ")
+    return None if at < 0 else whole.count(" ", 0, at)
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Licenses found in each text: `id`, `license`, `coverage`, `first_word`, `last_word` (from 0, inclusive).
 
     One row per document and template of which COVERED or more is aligned within
-    one stretch of the text; its best stretch if there are several.  Null and empty
+    one stretch of the text; its best stretch if there are several.  Notices of at
+    most NOTICE words, and the TELLING words of the others, must be there unchanged.  Null and empty
     texts have none; repeated rows are scanned alike; an empty table gives no rows.
     """
     wanted = {k: words(t) for k, t in templates.items()}
@@ -138,16 +150,20 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, id_col: str = "
         for batch in batches:
             ids, found = iter(batch.column("id").to_pylist()), []
             for text in (t for some in slices(batch.column("text")) for t in some):
-                doc_id, places, a = next(ids), [], []
-                for i, w in enumerate(words(text)):  # other words can't be aligned
+                doc_id, places, a, ws = next(ids), [], [], words(text)
+                for i, w in enumerate(ws):  # other words can't be aligned
                     if w in vocabulary:
                         places.append(i)
                         a.append(w)
                 have = Counter(a)
                 for k, b in wanted.items():
                     if enough(have, b):
-                        n, lo, hi = best(places, a, b)
-                        if n >= COVERED * len(b):
+                        if len(b) <= NOTICE:
+                            lo = found_at(" ".join(b), ws)
+                            n, hi = (0, 0) if lo is None else (len(b), lo + len(b) - 1)
+                        else:
+                            n, lo, hi = best(places, a, b)
+                        if n >= COVERED * len(b) and all(found_at(x, ws[lo:hi + 1]) is not None for x in TELLING.get(k, ())):
                             found.append({"id": doc_id, "license": k, "coverage": n / len(b), "first_word": lo, "last_word": hi})
             if found:
                 yield pa.RecordBatch.from_pylist(found, schema=pa.schema([("id", pa.int64()), ("license", pa.string()), ("coverage", pa.float64()), ("first_word", pa.int64()), ("last_word", pa.int64())]))
