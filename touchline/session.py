@@ -58,4 +58,13 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     """
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def forget(*cuts: DataFrame) -> None:
+    """Delete what `cut` has written for these frames; for those whose every reader is written out itself."""
+    for df in cuts:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
