@@ -56,6 +56,36 @@ def running_before(counts: DataFrame, key: str, n: str, name: str) -> DataFrame:
     return counts.select(key, F.coalesce(F.sum(n).over(w), F.lit(0)).alias(name))
 
 
+class Flags:
+    """A filter on keys for the rows that a join may need; it lets too many through, never too few.
+
+    One byte a slot, eight slots a key and MOST_SLOTS at most: with more keys than these it lets more
+    through, which costs time and not rows.
+    """
+
+    MOST_SLOTS = 1 << 23
+
+    def __init__(self, keys: DataFrame, *by: str):
+        spark, n = keys.sparkSession, keys.count()
+        self.slots = 1 << 10
+        while self.slots < min(self.MOST_SLOTS, 8 * n):
+            self.slots *= 2
+        words = keys.select(self._at(*by).alias("b")).groupBy(F.shiftright("b", 5).cast("int").alias("w")).agg(
+            F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("b", F.lit(32)).cast("int"))).alias("v")).collect()
+        flags = bytearray(self.slots)
+        for r in words:  # MOST_SLOTS / 32 at most
+            for k in range(32):
+                if r["v"] >> k & 1:
+                    flags[r["w"] * 32 + k] = 1
+        self.table = cut(spark.createDataFrame([(flags,)], "flags binary").coalesce(1), "flags")
+
+    def _at(self, *by) -> Column:
+        return F.pmod(F.xxhash64(*by), F.lit(self.slots))
+
+    def has(self, *by) -> Column:
+        return F.substring(self.table.scalar(), self._at(*by).cast("int") + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph: distributed union-find.
 

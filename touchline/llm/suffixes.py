@@ -28,18 +28,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from touchline.llm.common import documents, inner
-from touchline.llm.passages import Filter, filtered, mixed, texts_of
+from touchline.llm.common import Flags, documents, inner
+from touchline.llm.passages import mixed
 from touchline.session import cut, forget
 
 WINDOW = 400
 #: Neighbours of a run at most, and into how many a pass parts it; a power of SPLIT.
 REACH, SPLIT = 256, 4
+#: Bytes of text that a task works on at once (one text at least).
+BATCH = 1 << 19
 U = np.uint64
 
 RUNS = "key long, m int, p int, lo int, hi int, core long, w0 long, w1 long"
 
 
+def some(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[tuple]:
+    """Columns of some rows as lists, texts first, of about BATCH bytes of text together."""
+    held, n = [], 0
+    for b in batches:
+        for k in range(0, b.num_rows, 50):
+            part = b.slice(k, 50)
+            for row in zip(*(part.column(c).to_pylist() for c in names), strict=True):
+                if held and n + len(row[0]) > BATCH:
+                    yield tuple(zip(*held, strict=True))
+                    held, n = [], 0
+                held.append(row)
+                n += len(row[0])
+    if held:
+        yield tuple(zip(*held, strict=True))
+
+
 def chosen(data: np.ndarray) -> np.ndarray:
     """For every place the one of the REACH from there on whose 8 bytes hash lowest, the first of several.
 
@@ -58,7 +76,7 @@ def chosen(data: np.ndarray) -> np.ndarray:
 
 def runs(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """All runs of texts that have a window: place, nearest and farthest suffix, hashes of the first digit and of the whole."""
-    for texts, key, m in texts_of(batches, "text", "key", "m"):
+    for texts, key, m in some(batches, "text", "key", "m"):
         n = np.array([len(t) for t in texts], np.int64)
         first = np.cumsum(n) - n
         buf = b"".join(texts)
@@ -83,12 +101,12 @@ def runs(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
 
 def sliced(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted runs of each text."""
-    for texts, wanted in texts_of(batches, "text", "wanted"):
+    for texts, wanted in some(batches, "text", "wanted"):
         for t, rs in zip(texts, wanted, strict=True):
             for k in range(0, len(rs), 5000):
-                some = rs[k:k + 5000]
-                out = {c: [r[c] for r in some] for c in ("w0", "w1", "lo", "hi", "settled")}
-                out["text"] = [t[r["p"] - r["hi"]:r["p"] - r["lo"] + window] for r in some]
+                few = rs[k:k + 5000]
+                out = {c: [r[c] for r in few] for c in ("w0", "w1", "lo", "hi", "settled")}
+                out["text"] = [t[r["p"] - r["hi"]:r["p"] - r["lo"] + window] for r in few]
                 yield pa.RecordBatch.from_arrays([pa.array(out["w0"], pa.int64()), pa.array(out["w1"], pa.int64()), pa.array(out["lo"], pa.int32()), pa.array(out["hi"], pa.int32()),
                                                   pa.array(out["settled"], pa.bool_()), pa.array(out["text"], pa.binary())], names=list(out))
 
@@ -130,7 +148,6 @@ def repeated(texts: DataFrame, window: int = WINDOW) -> DataFrame:
 
     `texts` has `key`, `m` (96 bits of hash of the text) and `text` as bytes.
     """
-    spark = texts.sparkSession
     long_texts = texts.where(F.octet_length("text") >= window)
     every = cut(long_texts.select("text", "key", "m").mapInArrow(lambda bs: runs(bs, window), RUNS), "suffix-first")
     cores = every.groupBy("core").agg(F.count(F.lit(1)).alias("k"), F.min("w0").alias("a"), F.max("w0").alias("b"), F.min("w1").alias("c"), F.max("w1").alias("d"))
@@ -142,10 +159,11 @@ def repeated(texts: DataFrame, window: int = WINDOW) -> DataFrame:
     hits = wholes.where("k > 1").select("w0", "w1", "lo", "hi")
     wanted = wholes.where("mixed").groupBy("key", "m").agg(F.collect_list(F.struct("w0", "w1", "p", "lo", "hi", (F.col("k") > 1).alias("settled"))).alias("wanted"))
     wanted = cut(wanted, "suffix-wanted")
-    near = filtered(long_texts.select("key", "m", "text"), Filter(spark, wanted), want=True, once=True).join(wanted, ["key", "m"]).select("text", "wanted")
+    near = long_texts.where(Flags(wanted, "key").has("key")).join(wanted, ["key", "m"]).select("text", "wanted")
     schema = "w0 long, w1 long, lo int, hi int, settled boolean, text binary"
     active = near.mapInArrow(lambda bs: sliced(bs, window), schema).withColumn("o", F.lit(0))
     active = cut(active.dropDuplicates(["w0", "w1"]), "suffix-active")
+    forget(wanted)
     width = REACH
     while width > 1:
         width //= SPLIT
@@ -160,7 +178,7 @@ def repeated(texts: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each text without its spans."""
-    for texts, ids, spans in texts_of(batches, "text", "id", "spans"):
+    for texts, ids, spans in some(batches, "text", "id", "spans"):
         n, gone, pieces, kept = [], [], [], []
         for t, ss in zip(texts, spans, strict=True):
             left, end, k, removed = [], 0, 0, 0
@@ -196,9 +214,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     d = inner(docs, id=id_col, text=text_col).select(F.col("id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     d = d.select("id", F.xxhash64("text").alias("key"), F.hash("text").alias("m"), F.col("text").cast("binary").alias("text"))
     info = cut(repeated(d.select("key", "m", "text"), window), "suffix-spans")
-    f = Filter(docs.sparkSession, info)
-    clean = filtered(d, f, want=False).select("text", "id", F.lit(None).cast(info.schema["spans"].dataType).alias("spans"))
-    hit = filtered(d, f, want=True).join(info, ["key", "m"], "left").select("text", "id", "spans")
+    hit = Flags(info, "key").has("key")
+    clean = d.where(~hit).select("text", "id", F.lit(None).cast(info.schema["spans"].dataType).alias("spans"))
+    hit = d.where(hit).join(info, ["key", "m"], "left").select("text", "id", "spans")
     schema = T.StructType([T.StructField("id", T.LongType()), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_removed", "n_spans")], T.StructField("kept", T.BinaryType())])
     return clean.mapInArrow(stripped, schema).union(hit.mapInArrow(stripped, schema))
 
