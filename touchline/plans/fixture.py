@@ -100,6 +100,25 @@ SELECT concat('c2-', CAST(event_id AS VARCHAR(20))), match_id, event_id, 'reinst
 FROM match_events WHERE type = 'Shot' AND period < 5 AND shot_outcome = 'Goal' AND event_id % 6 = 0
 """
 
+#: Events with what only the deep feed sends: ends of carries, and the pass that made a shot.
+BALL_EVENTS = """
+SELECT match_id, event_id, period, minute, second, idx, type, team_id, team, player_id, player, possession, x, y,
+       CASE WHEN type = 'Carry' AND event_id % 50 <> 0 THEN CAST((event_id * 71 % 1200) / 10.0 AS DOUBLE) ELSE end_x END AS end_x,
+       CASE WHEN type = 'Carry' AND event_id % 50 <> 0 THEN CAST((event_id * 91 % 800) / 10.0 AS DOUBLE) ELSE end_y END AS end_y,
+       pass_outcome, shot_xg, shot_outcome, shot_type,
+       CASE WHEN type = 'Shot' AND event_id % 17 = 0 THEN -event_id WHEN type = 'Shot' AND event_id % 3 <> 0 THEN max(CASE WHEN type = 'Pass' AND pass_outcome = 'Complete' THEN event_id END)
+            OVER (PARTITION BY match_id, team_id, period ORDER BY idx ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING) END AS shot_key_pass_id
+FROM match_events
+"""
+
+#: Players in view of every second pass, ten to fourteen of them.
+FRAMES = """
+SELECT e.match_id, e.event_id, s.slot, CAST((e.event_id * 29 + s.slot * 137) % 1200 / 10.0 AS DOUBLE) AS x, CAST((e.event_id * 43 + s.slot * 211) % 800 / 10.0 AS DOUBLE) AS y,
+       s.slot % 3 = 0 AS teammate, s.slot = 4 AS keeper
+FROM match_events e JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11), (12), (13)) AS s(slot) ON s.slot < 10 + e.event_id % 5
+WHERE e.type = 'Pass' AND e.event_id % 2 = 0
+"""
+
 RESULTS_REGION = """
 WITH places AS (
   SELECT n_nationkey, n_regionkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS pos,
@@ -133,6 +152,8 @@ VIEWS: dict[str, tuple[str, tuple[str, ...]]] = {
     "corrections": (CORRECTIONS, ("match_events",)),
     "results_region": (RESULTS_REGION, ("orders", "customer", "nation")),
     "posts": (POSTS, ("events",)),
+    "ball_events": (BALL_EVENTS, ("match_events",)),
+    "frames": (FRAMES, ("match_events",)),
 }
 
 

@@ -53,6 +53,24 @@ def stream_reset(spark, d):
     return log.visible("event").groupBy("match_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def stream_reset_in_batch(spark, d):
+    """The same through a stream, with resets and records from both sides of them in one batch.
+
+    Match 5 is sent again after its reset, match 10 before it.
+    """
+    log = _live(spark, d)
+    e, k = table(spark, d, "match_events").drop("match_day"), table(spark, d, "corrections")
+    recs = LV.encoded(e, k)
+    far = F.lit(1_000_000).cast("long")
+    gone = LV.resets(e.filter("match_id % 5 = 0").select("match_id").distinct()).withColumn("seq", far)
+    again = recs.filter("match_id IN (5, 10)").withColumn("seq", F.when(F.col("match_id") == 5, far + 1).otherwise(far - 1))
+    path = scratch(spark, "records")
+    for batch in (recs.withColumn("seq", F.lit(1).cast("long")), gone.unionByName(again)):
+        batch.coalesce(1).write.mode("append").parquet(path)
+    log.start(LV.read_stream(spark, path, files_per_batch=1), scratch(spark, "ckpt")).awaitTermination()
+    return log.visible("event").groupBy("match_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 def stream_append(spark, d):
     log = _run(spark, d)
     e, k = log.visible("event"), log.visible("correction")
@@ -105,6 +123,7 @@ QUERIES = {
     "stream_score_feed": score_feed,
     "stream_resume": stream_resume,
     "stream_reset": stream_reset,
+    "stream_reset_in_batch": stream_reset_in_batch,
     "stream_volume": lambda s, d: _latest(s, d, SO.hourly_volume(_posts_stream(s, d)), ["from", "network"]),
     "stream_trends": lambda s, d: _latest(s, d, SO.sliding_trends(_posts_stream(s, d)), ["from", "tag"]),
     "stream_fingerprints": lambda s, d: _appended(s, SO.first_of_fingerprint(_posts_stream(s, d))).select("fp"),
@@ -116,6 +135,7 @@ ORACLE = {
     "stream_state": C.ORACLE["match_score"],
     "stream_score_feed": f"SELECT match_id, home_score, away_score, CAST(0 AS BIGINT) AS repeats FROM ({C.ORACLE['match_score']})",
     "stream_reset": with_views("SELECT match_id, count(*) AS n FROM match_events WHERE match_id % 5 <> 0 OR match_id = 5 GROUP BY match_id", "match_events"),
+    "stream_reset_in_batch": with_views("SELECT match_id, count(*) AS n FROM match_events WHERE match_id % 5 <> 0 OR match_id = 5 GROUP BY match_id", "match_events"),
     "stream_volume": FE.sql("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS "from", network, count(*) AS posts FROM p GROUP BY ALL"""),
     "stream_trends": FE.sql("""SELECT strftime(date_trunc('hour', ts) - to_hours(CAST(h AS INT)), '%Y-%m-%d %H:%M') AS "from", lower(substr(tag, 2)) AS tag, count(*) AS posts FROM p, range(0, 6) r(h) GROUP BY ALL"""),
     "stream_fingerprints": FE.sql(f"SELECT DISTINCT {FE._fpq('''concat_ws(' ', tag, text)''')} AS fp FROM p"),

@@ -43,8 +43,9 @@ CORRECTION = _struct(
     new_team=S, new_minute=I, new_xg=D,
 )
 
-#: What a replayed or live feed carries: one JSON body per record.
-STREAM_RECORD = _struct(kind=S, match_id=L, body=S)
+#: What a replayed or live feed carries: one JSON body per record, and its place
+#: in the feed where the feed has one.
+STREAM_RECORD = _struct(kind=S, match_id=L, body=S, seq=L)
 
 POST = _struct(
     id=S, network=S, url=S, author_name=S, author_handle=S, author_avatar=S, author_url=S,

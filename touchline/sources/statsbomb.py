@@ -18,7 +18,7 @@ RAW = (
     f"first_time:boolean,one_on_one:boolean,freeze_frame:array<struct<location:array<double>,teammate:boolean,position:{_REF},player:{_REF}>>>, "
     f"pass struct<recipient:{_REF},length:double,angle:double,height:{_REF},end_location:array<double>,body_part:{_REF},type:{_REF},outcome:{_REF},"
     "technique:" + _REF + ",cross:boolean,cut_back:boolean,switch:boolean,through_ball:boolean,shot_assist:boolean,goal_assist:boolean>, "
-    f"foul_committed struct<card:{_REF}>, bad_behaviour struct<card:{_REF}>, duel struct<type:{_REF}>, substitution struct<replacement:{_REF}>, tactics string"
+    f"carry struct<end_location:array<double>>, foul_committed struct<card:{_REF}>, bad_behaviour struct<card:{_REF}>, duel struct<type:{_REF}>, substitution struct<replacement:{_REF}>, tactics string"
 )
 LINEUP = ("team_id bigint, team_name string, lineup array<struct<player_id:bigint,player_name:string,player_nickname:string,jersey_number:int,"
           "country:struct<name:string>,positions:array<struct<position:string,start_reason:string>>>>")
@@ -47,7 +47,7 @@ def normalise(raw: DataFrame, nicknames: DataFrame | None = None) -> DataFrame:
     """Parsed raw rows (`match_id` + RAW) as flat canonical events."""
     sid = lambda c: F.col(f"{c}.id").cast("string")
     loc = F.size("location") >= 2
-    end = F.when(F.col("pass").isNotNull(), F.col("pass.end_location")).otherwise(F.col("shot.end_location"))
+    end = F.when(F.col("pass").isNotNull(), F.col("pass.end_location")).otherwise(F.coalesce("carry.end_location", "shot.end_location"))
     seen = F.filter(F.coalesce("shot.freeze_frame", F.array()), lambda a: F.size(a["location"]) >= 2)
     frame = F.transform(seen, lambda a: F.struct(a["location"][0].alias("x"), a["location"][1].alias("y"), F.coalesce(a["teammate"], F.lit(False)).alias("teammate"),
                                                  F.coalesce(a["position"]["name"] == "Goalkeeper", F.lit(False)).alias("keeper"), F.coalesce(a["player"]["name"], F.lit("")).alias("name")))

@@ -5,6 +5,12 @@ log, because a match's projection depends only on the set of its records.  The
 log tables are the state: a micro-batch appends what is new, finds the matches
 it touched and refolds those with the batch operators.  Replaying a batch after
 a failure writes the same partitions again.
+
+A reset is a tombstone: it hides what came before it.  Where records have a
+sequence number, that is what has a smaller one, so a micro-batch can hold a
+reset and records from both sides of it in any order.  Without one, all records of
+the reset's own batch count as later.  Batches keep the feed's order for a match,
+as a log partitioned by match does.
 """
 
 from __future__ import annotations
@@ -29,7 +35,7 @@ from touchline.sources import records as RC
 
 def read_stream(spark: SparkSession, path: str, files_per_batch: int = 16, fmt: str = "parquet") -> DataFrame:
     """(kind, match_id, body) records landed as files; any source with these
-    three columns will do."""
+    columns will do; `seq` may be missing."""
     return spark.readStream.schema(schemas.STREAM_RECORD).option("maxFilesPerTrigger", files_per_batch).format(fmt).load(path)
 
 
@@ -38,7 +44,7 @@ class LiveLog:
 
     def __init__(self, spark: SparkSession, root: str, event_schema: StructType, correction_schema: StructType, matches: DataFrame | None = None) -> None:
         self.spark, self.root, self.matches = spark, root, matches
-        tail = [StructField("batch_id", LongType())]
+        tail = [StructField("record_seq", LongType()), StructField("batch_id", LongType())]
         self.schemas = {"event": StructType([*event_schema.fields, *tail]), "correction": StructType([*correction_schema.fields, *tail])}
         self.ids = {"event": "event_id", "correction": "correction_id"}
 
@@ -49,34 +55,51 @@ class LiveLog:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(path)
 
-    def _resets(self) -> DataFrame:
-        s = StructType([StructField("match_id", LongType()), StructField("batch_id", LongType())])
-        return self._table("resets", s).groupBy("match_id").agg(F.max("batch_id").alias("reset_at"))
-
-    def visible(self, kind: str, before: int | None = None, keep: DataFrame | None = None) -> DataFrame:
+    def _resets(self, through: int | None = None) -> DataFrame:
+        """Per match its last reset by number (`reset_seq`), by batch (`reset_at`), and by batch among those without a number (`reset_plain`)."""
+        s = StructType([StructField("match_id", LongType()), StructField("seq", LongType()), StructField("batch_id", LongType())])
+        t = self._table("resets", s)
+        if through is not None:
+            t = t.filter(F.col("batch_id") <= through)
+        t = t.withColumn("match_id", F.col("match_id").cast(self.schemas["event"]["match_id"].dataType))
+        return t.groupBy("match_id").agg(F.max("seq").alias("reset_seq"), F.max("batch_id").alias("reset_at"), F.max(F.when(F.col("seq").isNull(), F.col("batch_id"))).alias("reset_plain"))
+
+    def _not_reset(self, rows: DataFrame, through: int | None = None) -> DataFrame:
+        """The rows (with `record_seq`, `batch_id`) that no reset of a batch up to `through` hides."""
+        earlier = lambda a, b: F.coalesce(F.col(a) < F.col(b), F.lit(False))
+        hidden = F.when(F.col("record_seq").isNull(), earlier("batch_id", "reset_at")).otherwise(earlier("record_seq", "reset_seq") | earlier("batch_id", "reset_plain"))
+        return rows.join(self._resets(through), "match_id", "left").filter(~hidden).drop("reset_seq", "reset_at", "reset_plain")
+
+    def visible(self, kind: str, before: int | None = None, keep: DataFrame | None = None, through: int | None = None) -> DataFrame:
         """Records not dropped by a reset; optionally as of an earlier batch and
-        only for some matches."""
+        only for some matches.  `through`: the last batch whose resets count, if not the one before."""
         t = self._table(kind, StructType([*self.schemas[kind].fields, StructField("bucket", schemas.I)]))
         if keep is not None:
             t = t.join(keep, ["bucket", "match_id"], "left_semi")
         if before is not None:
             t = t.filter(F.col("batch_id") < before)
-        r = self._resets() if before is None else self._table("resets", StructType([StructField("match_id", LongType()), StructField("batch_id", LongType())])).filter(
-            F.col("batch_id") < before).groupBy("match_id").agg(F.max("batch_id").alias("reset_at"))
-        t = t.join(r.withColumn("match_id", F.col("match_id").cast(self.schemas[kind]["match_id"].dataType)), "match_id", "left")
-        return t.filter(F.col("reset_at").isNull() | (F.col("batch_id") >= F.col("reset_at"))).drop("reset_at", "bucket", "batch_id")
+            through = before - 1 if through is None else through
+        return self._not_reset(t, through).drop("bucket", "batch_id", "record_seq")
 
     # ---- one micro-batch
     def append(self, batch: DataFrame, batch_id: int) -> None:
         """Append what the log does not hold; drop nothing, update nothing."""
-        control = batch.filter("kind = 'control' AND body = 'reset'").select("match_id").distinct()
-        self._write(control.withColumn("batch_id", F.lit(batch_id).cast("long")), "resets", batch_id)
+        seq = F.col("seq").cast("long") if "seq" in batch.columns else F.lit(None).cast("long")
+        batch = batch.withColumn("seq", seq)
+        at = F.lit(batch_id).cast("long").alias("batch_id")
+        control = batch.filter("kind = 'control' AND body = 'reset'").groupBy("match_id").agg(F.max("seq").alias("seq"), F.max(F.col("seq").isNull()).alias("plain"))
+        # A match may have a reset of both kinds: two rows then.
+        control = control.select("match_id", F.explode(F.array_distinct(F.array("seq", F.when(~F.col("plain"), F.col("seq"))))).alias("seq"), at)
+        self._write(control, "resets", batch_id)
         for kind, schema in self.schemas.items():
-            body = StructType(schema.fields[:-1])
-            new = LG._first_copy(RC.decode(batch, kind, body), ["match_id", self.ids[kind]], []).withColumn("bucket", RC.bucket())
+            body = StructType(schema.fields[:-2])
+            new = batch.filter(F.col("kind") == kind).select(F.from_json("body", body).alias("r"), F.col("seq").alias("record_seq")).select("r.*", "record_seq")
+            # Of copies the last counts, as a reset may stand between them; one without a number is later than any.
+            new = LG._first_copy(new, ["match_id", self.ids[kind]], [F.desc_nulls_first("record_seq")]).withColumn("bucket", RC.bucket())
+            new = self._not_reset(new.select("*", at), batch_id)
             touched = new.select("bucket", "match_id").distinct()
-            old = self.visible(kind, batch_id, touched).select("match_id", self.ids[kind])
-            self._write(new.join(old, ["match_id", self.ids[kind]], "left_anti").withColumn("batch_id", F.lit(batch_id).cast("long")), kind, batch_id)
+            old = self.visible(kind, batch_id, touched, through=batch_id).select("match_id", self.ids[kind])
+            self._write(new.join(old, ["match_id", self.ids[kind]], "left_anti"), kind, batch_id)
 
     def _write(self, df: DataFrame, name: str, batch_id: int) -> None:
         """Partitioned by batch: a retried batch replaces its own output."""
@@ -128,8 +151,7 @@ class LiveLog:
         s = self.spark.read.parquet(f"{self.root}/state")
         cols = [c for c in s.columns if c not in ("match_id", "batch_id")]
         latest = s.groupBy("match_id").agg(F.max_by(F.struct(*cols), "batch_id").alias("s"), F.max("batch_id").alias("batch_id"))
-        r = self._resets().withColumn("match_id", F.col("match_id").cast(dict(s.dtypes)["match_id"]))
-        j = latest.join(r, "match_id", "left").filter(F.col("reset_at").isNull() | (F.col("batch_id") >= F.col("reset_at")))
+        j = latest.join(self._resets(), "match_id", "left").filter(F.col("reset_at").isNull() | (F.col("batch_id") >= F.col("reset_at")))
         return j.select("match_id", "s.*")
 
     def changes(self, since: tuple[int, int, int] | None = None) -> DataFrame:
