@@ -8,8 +8,8 @@ union-find, and of each component the first line in the corpus stays.
 
 Signatures and similarities are worked out on Arrow batches, all lines of a batch at
 once; all else is DataFrame functions.  A line that is there many times is signed once a
-batch.  Pairs are listed within small buckets only: in larger ones the lines like the
-first leave it, round by round.
+batch.  Pairs are listed within small buckets only: in larger ones the lines like one of the
+first few leave it, round by round.
 """
 
 from __future__ import annotations
@@ -30,10 +30,10 @@ from touchline.session import cut, forget
 #: Characters that a line needs to take part if the caller says nothing; op7 and the pipeline take every line with a word.
 LEAST = 40
 SHINGLE, SIMILAR = 5, 0.8
-#: Bands, and rows of a band: of two lines that are 0.8 alike 98.5 % share a bucket, of 0.85 99.7 %.
-BANDS, ROWS = 8, 4
-#: Buckets of at most this many lines have all their pairs compared at once, larger ones in rounds.
-LISTED = 32
+#: Bands, and rows of a band: of two lines that are 0.8 alike 98.6 % share a bucket, of 0.85 99.9 %.
+BANDS, ROWS = 14, 6
+#: Buckets of at most this many lines have all their pairs compared at once, larger ones in rounds, with so many firsts in each.
+LISTED, FIRSTS = 128, 16
 #: A line less alike than NEAR to a second isn't similar to any that is similar to this one, as 1 - Jaccard is a metric.
 NEAR = 2 * SIMILAR - 1
 #: Characters of the lines that are signed at once (one line at least).
@@ -147,11 +147,11 @@ def classes(docs: DataFrame, signatures: DataFrame, least: int = LEAST) -> DataF
     """`node`, `root` of the line hashes that are similar to another; `signatures` has `lk` and `key`, or `keys`.
 
     Of any two lines of a bucket that are similar, both end in one component.  In a
-    bucket of LISTED lines at most all pairs are compared.  A larger one goes in rounds: its lines are compared with
-    the first.  Those similar to it leave the bucket: they are one component, and of the
-    rest they need only be compared with those that are NEAR to the first.  The rest are
-    the bucket of the next round.  Pairs whose ends are in one component already can't change anything
-    and are left out.  Without signatures there are no classes.
+    bucket of LISTED lines at most all pairs are compared.  A larger one goes in rounds: its lines are
+    compared with the FIRSTS first.  Those similar to one of these leave the bucket: with it they are one
+    component, and of the others only those that are NEAR to it and in another component need be compared with them.
+    The rest are the bucket of the next round, unless they are in one component by then.  Pairs whose ends are
+    in one component already can't change anything and are left out.  Without signatures there are no classes.
     """
     w = W.partitionBy("key")
     if "key" not in signatures.columns:
@@ -162,28 +162,34 @@ def classes(docs: DataFrame, signatures: DataFrame, least: int = LEAST) -> DataF
     texts = occurrences(docs, least).select("lk", "line").where(Flags(ends, "lk").has("lk")).groupBy("lk").agg(F.first("line").alias("line"))
     texts = cut(texts.join(ends, "lk", "left_semi"), "line-texts")
     similar = lambda df: df.where(F.col("shared") >= SIMILAR * F.col("all")).select("u", "v")
-    links, first_round = None, True
+    links = roots = across = None
+
+    def rooted(df: DataFrame, line: str, name: str) -> DataFrame:
+        return df.join(roots.select(F.col("node").alias(line), F.col("root").alias(name)), line, "left").withColumn(name, F.coalesce(name, line))
+
     while True:
         few = rows.where(F.col("n") <= LISTED).select("key", F.col("lk").alias("u"))
         pairs = few.join(few.withColumnRenamed("u", "v"), "key").where("u < v").select("u", "v")
-        many = rows.where(F.col("n") > LISTED)
-        if not first_round:
-            of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"r{end}"))
-            pairs = pairs.union(across).distinct().join(of("u"), "u", "left").join(of("v"), "v", "left").where(F.coalesce("ru", "u") != F.coalesce("rv", "v")).select("u", "v")
-        stars = many.join(many.groupBy("key").agg(F.min("lk").alias("lo")), "key").where("lk <> lo").select("key", "lk", "lo")
-        seen = cut(compared(pairs.union(stars.select(F.col("lo").alias("u"), F.col("lk").alias("v"))).distinct(), texts), "line-pairs")
+        if roots is not None:
+            pairs = rooted(rooted(pairs.union(across).distinct(), "u", "ru"), "v", "rv").where("ru <> rv").select("u", "v")
+        many = rows.where(F.col("n") > LISTED).select("key", "lk")
+        firsts = many.withColumn("k", F.row_number().over(W.partitionBy("key").orderBy("lk"))).where(F.col("k") <= FIRSTS).select("key", F.col("lk").alias("lo"))
+        stars = many.join(firsts, "key").where("lk <> lo").select("key", "lo", "lk")
+        seen = cut(compared(pairs.union(stars.select(F.least("lo", "lk").alias("u"), F.greatest("lo", "lk").alias("v"))).distinct(), texts), "line-pairs")
         links = similar(seen) if links is None else links.union(similar(seen))
+        roots = cut(components(links), "line-roots")
         if many.isEmpty():
-            roots = cut(components(links), "line-roots")
             forget(rows, ends, texts)
             return roots
-        roots = cut(components(links), "line-roots")
         kind = F.when(F.col("shared") >= SIMILAR * F.col("all"), 2).when(F.col("shared") >= NEAR * F.col("all"), 1).otherwise(0)
-        stars = cut(stars.join(seen.select(F.col("u").alias("lo"), F.col("v").alias("lk"), kind.alias("kind")), ["lo", "lk"]).select("key", "lk", "kind"), "line-kinds")
-        across = stars.where("kind = 2").select("key", F.col("lk").alias("a")).join(stars.where("kind = 1").select("key", F.col("lk").alias("b")), "key").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-        rest = stars.where("kind < 2").select("key", "lk")
-        rows = cut(rest.join(rest.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key").where("n > 1").select("key", "lk", "n"), "line-buckets")
-        first_round = False
+        both = stars.withColumns({"u": F.least("lo", "lk"), "v": F.greatest("lo", "lk")}).join(seen, ["u", "v"]).select("key", "lo", "lk", kind.alias("kind"))
+        stars = cut(both, "line-kinds")
+        near = rooted(rooted(stars.where("kind = 1"), "lk", "rb"), "lo", "ra").where("ra <> rb").select("key", "lo", F.col("lk").alias("b"))
+        across = stars.where("kind = 2").select("key", "lo", F.col("lk").alias("a")).join(near, ["key", "lo"]).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
+        left = stars.groupBy("key", "lk").agg(F.max("kind").alias("kind")).where("kind < 2").select("key", "lk").join(firsts.select("key", F.col("lo").alias("lk")), ["key", "lk"], "left_anti")
+        apart = F.min("r") != F.max("r")
+        open_keys = rooted(left, "lk", "r").groupBy("key").agg(F.count(F.lit(1)).alias("n"), apart.alias("apart")).where("apart").select("key", "n")
+        rows = cut(left.join(open_keys, "key").select("key", "lk", "n"), "line-buckets")
 
 
 def dropped(docs: DataFrame, least: int = LEAST) -> DataFrame:
