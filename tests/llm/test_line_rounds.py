@@ -22,7 +22,7 @@ def test_rounds_miss_nothing(spark, monkeypatch):
     by = defaultdict(set)
     for x, c in zip(occ, want, strict=True):
         by[c].add(got.get(x["lk"], x["lk"]))
-    assert max(Counter(want).values()) > 3 and all(len(s) == 1 for s in by.values()) and len(set().union(*by.values())) == len(by)
+    assert max(Counter(want).values()) > 2 and all(len(s) == 1 for s in by.values()) and len(set().union(*by.values())) == len(by)
 
 
 def test_clashing_columns(spark):

@@ -33,7 +33,8 @@ SHINGLE, SIMILAR = 5, 0.8
 #: Bands, and rows of a band: of two lines that are 0.8 alike 98.6 % share a bucket, of 0.85 99.9 %.
 BANDS, ROWS = 14, 6
 #: Buckets of at most this many lines have all their pairs compared at once, larger ones in rounds, with so many firsts in each.
-LISTED, FIRSTS = 128, 16
+#: After the first round, which leaves few of a group of copies, they are LATER and 4 times as large.
+LISTED, FIRSTS, LATER = 8, 4, 32
 #: A line less alike than NEAR to a second isn't similar to any that is similar to this one, as 1 - Jaccard is a metric.
 NEAR = 2 * SIMILAR - 1
 #: Characters of the lines that are signed at once (one line at least).
@@ -139,6 +140,8 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 either.append(len(one) + len(two) - shared[-1])
             yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(shared, pa.int32()), pa.array(either, pa.int32())], names=["u", "v", "shared", "all"])
 
+    # As many tasks as a shuffle has, even where the lines are broadcast: comparing is the work.
+    pairs = pairs.repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "u", "v")
     both = pairs.join(texts.withColumnsRenamed({"lk": "v", "line": "b"}), "v").join(texts.withColumnsRenamed({"lk": "u", "line": "a"}), "u")
     return both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long, shared int, all int")
 
@@ -149,9 +152,9 @@ def classes(docs: DataFrame, signatures: DataFrame, least: int = LEAST) -> DataF
     Of any two lines of a bucket that are similar, both end in one component.  In a
     bucket of LISTED lines at most all pairs are compared.  A larger one goes in rounds: its lines are
     compared with the FIRSTS first.  Those similar to one of these leave the bucket: with it they are one
-    component, and of the others only those that are NEAR to it and in another component need be compared with them.
-    The rest are the bucket of the next round, unless they are in one component by then.  Pairs whose ends are
-    in one component already can't change anything and are left out.  Without signatures there are no classes.
+    component.  The rest are the bucket of the next round, unless they are in one component by then.  At the end
+    those that left are compared with the lines that are NEAR to their first and in another component still.  Pairs whose
+    ends are in one component already can't change anything and are left out.  Without signatures there are no classes.
     """
     w = W.partitionBy("key")
     if "key" not in signatures.columns:
@@ -162,34 +165,41 @@ def classes(docs: DataFrame, signatures: DataFrame, least: int = LEAST) -> DataF
     texts = occurrences(docs, least).select("lk", "line").where(Flags(ends, "lk").has("lk")).groupBy("lk").agg(F.first("line").alias("line"))
     texts = cut(texts.join(ends, "lk", "left_semi"), "line-texts")
     similar = lambda df: df.where(F.col("shared") >= SIMILAR * F.col("all")).select("u", "v")
-    links = roots = across = None
+    links, roots, rounds, listed, firsts_of = None, None, [], LISTED, FIRSTS
 
     def rooted(df: DataFrame, line: str, name: str) -> DataFrame:
         return df.join(roots.select(F.col("node").alias(line), F.col("root").alias(name)), line, "left").withColumn(name, F.coalesce(name, line))
 
     while True:
-        few = rows.where(F.col("n") <= LISTED).select("key", F.col("lk").alias("u"))
-        pairs = few.join(few.withColumnRenamed("u", "v"), "key").where("u < v").select("u", "v")
-        if roots is not None:
-            pairs = rooted(rooted(pairs.union(across).distinct(), "u", "ru"), "v", "rv").where("ru <> rv").select("u", "v")
-        many = rows.where(F.col("n") > LISTED).select("key", "lk")
-        firsts = many.withColumn("k", F.row_number().over(W.partitionBy("key").orderBy("lk"))).where(F.col("k") <= FIRSTS).select("key", F.col("lk").alias("lo"))
+        few = rows.where(F.col("n") <= listed).select("key", F.col("lk").alias("u"))
+        pairs = few.join(few.withColumnRenamed("u", "v"), "key").where("u < v").select("u", "v").distinct()
+        if rounds:
+            pairs = rooted(rooted(pairs, "u", "ru"), "v", "rv").where("ru <> rv").select("u", "v")
+        many = rows.where(F.col("n") > listed).select("key", "lk")
+        firsts = many.withColumn("k", F.row_number().over(W.partitionBy("key").orderBy("lk"))).where(F.col("k") <= firsts_of).select("key", F.col("lk").alias("lo"))
         stars = many.join(firsts, "key").where("lk <> lo").select("key", "lo", "lk")
         seen = cut(compared(pairs.union(stars.select(F.least("lo", "lk").alias("u"), F.greatest("lo", "lk").alias("v"))).distinct(), texts), "line-pairs")
         links = similar(seen) if links is None else links.union(similar(seen))
         roots = cut(components(links), "line-roots")
         if many.isEmpty():
-            forget(rows, ends, texts)
-            return roots
+            break
         kind = F.when(F.col("shared") >= SIMILAR * F.col("all"), 2).when(F.col("shared") >= NEAR * F.col("all"), 1).otherwise(0)
         both = stars.withColumns({"u": F.least("lo", "lk"), "v": F.greatest("lo", "lk")}).join(seen, ["u", "v"]).select("key", "lo", "lk", kind.alias("kind"))
-        stars = cut(both, "line-kinds")
-        near = rooted(rooted(stars.where("kind = 1"), "lk", "rb"), "lo", "ra").where("ra <> rb").select("key", "lo", F.col("lk").alias("b"))
-        across = stars.where("kind = 2").select("key", "lo", F.col("lk").alias("a")).join(near, ["key", "lo"]).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))
-        left = stars.groupBy("key", "lk").agg(F.max("kind").alias("kind")).where("kind < 2").select("key", "lk").join(firsts.select("key", F.col("lo").alias("lk")), ["key", "lk"], "left_anti")
+        rounds.append(cut(both, "line-kinds"))
+        left = rounds[-1].groupBy("key", "lk").agg(F.max("kind").alias("kind")).where("kind < 2").select("key", "lk").join(firsts.select("key", F.col("lo").alias("lk")), ["key", "lk"], "left_anti")
         apart = F.min("r") != F.max("r")
         open_keys = rooted(left, "lk", "r").groupBy("key").agg(F.count(F.lit(1)).alias("n"), apart.alias("apart")).where("apart").select("key", "n")
-        rows = cut(left.join(open_keys, "key").select("key", "lk", "n"), "line-buckets")
+        rows, done = cut(left.join(open_keys, "key").select("key", "lk", "n"), "line-buckets"), rows
+        forget(done)
+        listed, firsts_of = LISTED * LATER, FIRSTS * 4
+    for stars in rounds:
+        near = rooted(rooted(stars.where("kind = 1"), "lk", "rb"), "lo", "ra").where("ra <> rb").select("key", "lo", F.col("lk").alias("b"))
+        across = stars.where("kind = 2").select("key", "lo", F.col("lk").alias("a")).join(near, ["key", "lo"]).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+        links = links.union(similar(cut(compared(across, texts), "line-across")))
+    if rounds:
+        roots = cut(components(links), "line-roots")
+    forget(rows, ends, texts, *rounds)
+    return roots
 
 
 def dropped(docs: DataFrame, least: int = LEAST) -> DataFrame:
