@@ -143,6 +143,68 @@ def test_other_licenses_are_not_taken_for_a_template(spark):
     assert {(x["id"], x["license"], x["first_word"]) for x in got} >= {(i, k, 2) for i, k in enumerate(t)}
 
 
+NOTICES = {k: licenses.words(t) for k, t in licenses.TEMPLATES.items() if len(licenses.words(t)) <= licenses.NOTICE}
+PHRASES = {k: [licenses.words(p) for p in ps] for k, ps in licenses.TELLING.items()}
+
+
+def notices_by_brute_force(text):
+    """All notices of which the longest common subsequence with some stretch of the text makes a match."""
+    ws, out = licenses.words(text), set()
+    for k, b in NOTICES.items():
+        for lo in (i for i, w in enumerate(ws) if w in b):
+            row = [0] * (len(b) + 1)
+            for hi in range(lo, min(len(ws), lo + 2 * len(b))):
+                old = row[:]
+                for j, w in enumerate(b, 1):
+                    row[j] = max(old[j], row[j - 1], old[j - 1] + 1 if w == ws[hi] else 0)
+                if ws[hi] in b and licenses.accepted(ws, lo, hi, row[-1], b, PHRASES[k]):
+                    out.add(k)
+    return out
+
+
+def reworded(r):
+    """Notices with words left out, put in or changed, among words of theirs."""
+    parts = []
+    for _ in range(r.randint(1, 4)):
+        b = licenses.TEMPLATES[r.choice(sorted(NOTICES))].split()
+        for _ in range(r.choice([0, 0, 1, 1, 2])):
+            i, how = r.randrange(len(b)), r.random()
+            b[i:i + 1] = [] if how < 0.3 else [r.choice(["an", "the", "stone", "version", "3"])] if how < 0.5 else [b[i], b[i]] if how < 0.7 else [r.choice(["the", "this", "river", "license", "under"]), b[i]]
+        parts.append(" ".join(b))
+        parts.append(" ".join(r.choice(["the", "river", "under", "walks", "license", "this", "stone", "a", "version"]) for _ in range(r.choice([0, 1, 3, 12, 40]))))
+    return " ".join(parts)
+
+
+def test_reworded_notices_against_brute_force(spark):
+    r = random.Random(11)
+    texts = [reworded(r) for _ in range(400)]
+    got, found, apart = {}, 0, 0
+    for x in licenses.scan(table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).collect():
+        got.setdefault(x["id"], set()).add(x["license"])
+    one = lambda ks: {"GPL-3.0" if k == "GPL-3.0 terms" else k for k in ks}  # noqa: E731  (a part of the other's stretch isn't told)
+    for i, t in enumerate(texts):
+        want, have = one(notices_by_brute_force(t)), one(got.get(i, set()))
+        assert have <= want
+        found, apart = found + len(want), apart + len(want - have)
+    assert found > 400 and apart <= found // 200  # patience alignment isn't a longest common subsequence
+
+
+def test_matches_are_aligned(spark):
+    """Every row has its words in the order of the template; longer licenses hide those they contain; texts of any length end."""
+    t = licenses.TEMPLATES | licenses.OTHERS
+    rows = [(1, t["BSD-3-Clause"], "en", "s"), (2, t["BSD-2-Clause"], "en", "s"), (3, t["Apache-2.0 header"], "en", "s"), (4, "Released under an MIT License.", "en", "s"), (5, "Released under a non-MIT License.", "en", "s"),
+            (6, t["MIT text"][:len(t["MIT text"]) // 2], "en", "s"), (7, (t["LGPL-3.0 header"] + " ") * 200, "en", "s"), (8, "the license under " * 100_000 + t["ISC"], "en", "s"), (9, t["MIT"] + " " + t["MIT"], "en", "s")]
+    rows += [rows[3], (None, t["MIT"], "en", "s")]
+    out = licenses.scan(table(spark, rows), t).collect()
+    assert sorted((str(x["id"]), x["license"]) for x in out) == sorted([("1", "BSD-3-Clause"), ("2", "BSD-2-Clause"), ("3", "Apache-2.0 header"), ("4", "MIT"), ("4", "MIT"), ("7", "LGPL-3.0 header"), ("8", "ISC"), ("9", "MIT"), ("None", "MIT")])
+    text = {i: licenses.words(x) for i, x, *_ in rows}
+    for x in out:
+        b = licenses.words(t[x["license"]])
+        pairs = licenses.aligned(text[x["id"]][x["first_word"]:x["last_word"] + 1], b)
+        assert x["n_aligned"] == len(pairs) == x["coverage"] * len(b) and all(i < k and j < m for (i, j), (k, m) in zip(pairs, pairs[1:]))
+    assert {x["first_word"] for x in out if x["id"] in (7, 9)} == {0}  # of equally good stretches the first
+
+
 def test_longest_chain():
     r = random.Random(6)
     for _ in range(200):
