@@ -61,6 +61,21 @@ def reports_regenerated(before: DataFrame, after: DataFrame) -> DataFrame:
     return _message(j.filter(~F.col("a").eqNullSafe(F.col("b"))), "report_regenerated", F.lit(None), F.col("a.lede"))
 
 
+def report_key(lines: Column, lede: Column) -> Column:
+    """What a report says, in short: equal for equal lines and lede only."""
+    return F.sha2(F.to_json(F.struct(lines.alias("lines"), lede.alias("lede"))), 256)
+
+
+def reports_told_anew(keys: DataFrame, after: DataFrame) -> DataFrame:
+    """The same against the `key` of the report last told; no key, or a null one, is a match without a report so far."""
+    j = after.join(keys.select("match_id", F.col("key").alias("b")), "match_id", "left")
+    return j.filter(~F.col("key").eqNullSafe(F.col("b"))).select(*after.columns)
+
+
+def report_messages(told: DataFrame) -> DataFrame:
+    return _message(told, "report_regenerated", F.lit(None), F.col("lede"))
+
+
 def score_feed(before: DataFrame, after: DataFrame) -> DataFrame:
     """Matches whose score differs, across all matches."""
     sc = ["home_score", "away_score"]

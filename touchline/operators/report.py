@@ -51,6 +51,18 @@ def lines(moments: DataFrame) -> DataFrame:
     return moments.select("match_id", "period", "minute", "second", "idx", "event_id", "kind", said.alias("line"))
 
 
+def gathered(moments: DataFrame) -> DataFrame:
+    """The sentences of each match in order, as an array; bounded where the moments are."""
+    return lines(moments).groupBy("match_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("period", "minute", "second", "idx", "event_id", "line"))), lambda s: s["line"]).alias("lines"))
+
+
+def spoken(winners: DataFrame, goals: DataFrame, moments: DataFrame) -> DataFrame:
+    """`lines` and `lede` of each match as it stands, finished or not: what makes a report another one."""
+    j = live_ledes(winners, ledes(goals, winners)).select("match_id", "lede").join(gathered(moments), "match_id", "left")
+    return j.select("match_id", F.coalesce("lines", F.array().cast("array<string>")).alias("lines"), "lede")
+
+
 def closing(moments: DataFrame) -> DataFrame:
     b = MO.biggest_swing(moments)
     return b.select("match_id", prose.closing_line(F.col("minute"), F.col("before_p_home"), F.col("after_p_home")).alias("closing"),
@@ -72,8 +84,7 @@ def reports(winners: DataFrame, goals: DataFrame, moments: DataFrame, correction
     After suppression the moments of a period are more than 90 seconds apart, so
     the lines gathered per match are bounded by its length.
     """
-    text = lines(moments).groupBy("match_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("period", "minute", "second", "idx", "event_id", "line"))), lambda s: s["line"]).alias("lines"))
+    text = gathered(moments)
     meta = matches.select("match_id", "competition", "match_date")
     head = winners.join(meta, "match_id").select("match_id", prose.headline().alias("headline"))
     out = head

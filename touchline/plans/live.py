@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from touchline.plans import corrections as C
 from touchline.plans import feed as FE
+from touchline.plans import narrative as N
 from touchline.plans.fixture import once, table, with_views
 from touchline.session import scratch
 from touchline.streaming import live as LV
@@ -94,6 +95,17 @@ def score_feed(spark, d):
     return last.select("match_id", "s.home_score", "s.away_score", "repeats")
 
 
+def stream_reports(spark, d):
+    """What does not depend on the batches: the lede of each match's report last told, and how often a report was told without a change of it or of the log."""
+    log = _run(spark, d)
+    told = log.changes().filter("type = 'report_regenerated'")
+    keys = spark.read.parquet(f"{log.root}/reports")
+    w = W.partitionBy("match_id").orderBy("batch_id")
+    again = keys.withColumn("again", (F.lag("key").over(w) == F.col("key")).cast("long")).groupBy("match_id").agg(F.coalesce(F.sum("again"), F.lit(0)).alias("repeats"))
+    last = told.groupBy("match_id").agg(F.max_by("text", "batch_id").alias("lede"))
+    return last.join(again.withColumn("match_id", F.col("match_id").cast("long")), "match_id").select("match_id", "lede", "repeats")
+
+
 def _posts_stream(spark, d):
     p = FE.posts(spark, d).select("post_id", "network", "author_id", "handle", F.concat_ws(" ", "tag", "text").alias("text"), "ts")
     src = once(spark, d, "posts-stream", lambda: p)
@@ -121,6 +133,7 @@ QUERIES = {
     "stream_state": lambda s, d: _run(s, d).states().select(*C.SCORE_COLS),
     "stream_changes": lambda s, d: _run(s, d).changes().select("batch_id", "match_id", "type", "ref", "text"),
     "stream_score_feed": score_feed,
+    "stream_reports": stream_reports,
     "stream_resume": stream_resume,
     "stream_reset": stream_reset,
     "stream_reset_in_batch": stream_reset_in_batch,
@@ -134,6 +147,7 @@ ORACLE = {
     "stream_append": C.sql(C.COUNT_BY),
     "stream_state": C.ORACLE["match_score"],
     "stream_score_feed": f"SELECT match_id, home_score, away_score, CAST(0 AS BIGINT) AS repeats FROM ({C.ORACLE['match_score']})",
+    "stream_reports": N.LIVE_NOW,
     "stream_reset": with_views("SELECT match_id, count(*) AS n FROM match_events WHERE match_id % 5 <> 0 OR match_id = 5 GROUP BY match_id", "match_events"),
     "stream_reset_in_batch": with_views("SELECT match_id, count(*) AS n FROM match_events WHERE match_id % 5 <> 0 OR match_id = 5 GROUP BY match_id", "match_events"),
     "stream_volume": FE.sql("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS "from", network, count(*) AS posts FROM p GROUP BY ALL"""),

@@ -283,6 +283,8 @@ _LIVE = f"""SELECT match_id, c.status, CASE WHEN c.status = 'finished' THEN l.le
      greatest(w.home_score, w.away_score), '-', least(w.home_score, w.away_score), ' ', wh, '.') END AS lede
    FROM (SELECT s.match_id, s.home_score, s.away_score, m.home, m.away FROM state1 s JOIN matches m USING (match_id)) w
    JOIN (SELECT *, CASE WHEN status = 'half_time' THEN 'at half-time' ELSE concat('after ', minute, ' minutes') END AS wh FROM clocks1) c USING (match_id) LEFT JOIN ledes l USING (match_id)"""
+#: The ledes as the whole log has them.
+LIVE_NOW = sql(f"SELECT match_id, lede, CAST(0 AS BIGINT) AS repeats FROM ({_LIVE})", **_as_of(9, 9999), ledes=LEDES)
 _CAND_SQL = "match_id, event_id, kind, period, minute, home_after, away_after, mandatory, stype AS shot_type, detail, synthesised, ruled_out_at, round(swing, 4) AS swing"
 _PROB = ", ".join(f"{w}_{c}" for w in ("before", "after") for c in MD.CLASSES)
 ORACLE = {

@@ -20,13 +20,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from touchline import schemas
 from touchline.operators import changes as CH
 from touchline.operators import features as FT
 from touchline.operators import log as LG
 from touchline.operators import model as MD
+from touchline.operators import moments as MO
+from touchline.operators import report as RP
 from touchline.operators import state as ST
 from touchline.operators import timeline as TL
 from touchline.session import cut
@@ -40,7 +42,11 @@ def read_stream(spark: SparkSession, path: str, files_per_batch: int = 16, fmt:
 
 
 class LiveLog:
-    """Tables under one root: events, corrections, resets, state, changes."""
+    """Tables under one root: events, corrections, resets, state, reports, changes.
+
+    Of reports the log keeps a key of what was told; without `matches`, which has the
+    names of the teams, there are none.
+    """
 
     def __init__(self, spark: SparkSession, root: str, event_schema: StructType, correction_schema: StructType, matches: DataFrame | None = None) -> None:
         self.spark, self.root, self.matches = spark, root, matches
@@ -118,9 +124,24 @@ class LiveLog:
         c = LG.corrected_events(e, v)
         state = ST.match_state(c, sides)
         inc = FT.minute_increments(LG.effective_events(e, v), sides)
-        return {"state": state, "corrections": k, "timeline": TL.corrected_timeline(e.drop("home_id", "away_id"), k, v, sides), "goals": ST.goals(c, sides),
+        return {"events": e, "state": state, "corrections": k, "timeline": TL.corrected_timeline(e.drop("home_id", "away_id"), k, v, sides), "goals": ST.goals(c, sides),
                 "series": MD.stand_in_series(FT.feature_rows(FT.minute_state(inc, sides)))}
 
+    def reports_told(self, keep: DataFrame, before: int) -> DataFrame:
+        """`match_id`, `key` of the report last told before a batch; a reset up to that batch drops it."""
+        s = StructType([StructField("match_id", self.schemas["event"]["match_id"].dataType), StructField("key", StringType()), StructField("batch_id", LongType()), StructField("bucket", schemas.I)])
+        t = self._table("reports", s).filter(F.col("batch_id") < before).join(keep, ["bucket", "match_id"], "left_semi")
+        last = t.groupBy("match_id").agg(F.max_by("key", "batch_id").alias("key"), F.max("batch_id").alias("batch_id"))
+        gone = F.coalesce(F.col("batch_id") < F.col("reset_at"), F.lit(False))
+        return last.join(self._resets(before), "match_id", "left").filter(~gone).select("match_id", "key")
+
+    def reports(self, now: dict[str, DataFrame], state: DataFrame, keep: DataFrame, batch_id: int) -> DataFrame:
+        """The reports of the touched matches that say something else than what was told last."""
+        w = MO.winner(state, self.matches)
+        moments = MO.suppress_duplicates(MO.choose(MO.candidates(now["events"], now["corrections"], now["series"], w)))
+        spoken = RP.spoken(w, now["goals"], moments).withColumn("key", CH.report_key(F.col("lines"), F.col("lede")))
+        return CH.reports_told_anew(self.reports_told(keep, batch_id), spoken)
+
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """foreachBatch: append, refold the touched matches, publish the diff."""
         batch = batch.persist()
@@ -133,6 +154,10 @@ class LiveLog:
             msgs = reduce(DataFrame.unionByName, [
                 CH.corrections_applied(old["corrections"], new["corrections"], new["goals"], state), CH.items_appended(old["timeline"], new["timeline"]),
                 CH.states_changed(old["state"], state), CH.probability_updated(old["state"], old["series"], state, new["series"])])
+            if self.matches is not None:
+                told = cut(self.reports(new, state, keep, batch_id), "reports")
+                self._write(told.select("match_id", "key", RC.bucket().alias("bucket"), F.lit(batch_id).cast("long").alias("batch_id")), "reports", batch_id)
+                msgs = msgs.unionByName(CH.report_messages(told))
             # The place of a message depends on nothing but the messages of its match, so a retry gives the same.
             place = W.partitionBy("match_id").orderBy("rank", "ref", "text")
             numbered = msgs.withColumn("n", F.row_number().over(place).cast("long"))
