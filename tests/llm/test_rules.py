@@ -143,6 +143,15 @@ def test_other_licenses_are_not_taken_for_a_template(spark):
     assert {(x["id"], x["license"], x["first_word"]) for x in got} >= {(i, k, 2) for i, k in enumerate(t)}
 
 
+def test_loose_candidates_of_any_length(spark):
+    """Long secrets and written-out addresses are proposed whole; nothing else changes."""
+    long, key = "ab1" * 40_000, "k9Z_" * 30_000
+    texts = [f'token="{key}" x', f"mail {long} [at] {long} [dot] com now", "joe (at) host.org", "key='" + "a1" * 8 + "'", "key='" + "a1" * 7 + "'", "a (at) b", f'token="{key} x', None, ""]
+    rows = private.candidates(table(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])).select("doc_id", "_c").collect()
+    got = {r["doc_id"]: [(c["kind"], c["start"], c["end"]) for c in r["_c"] if not c["base"] and c["v0"] == 0] for r in rows}
+    assert got == {0: [("secret", 7, 7 + len(key))], 1: [("email", 5, len(texts[1]) - 4)], 2: [("email", 0, 17)], 3: [("secret", 5, 21)], 4: [], 5: [], 6: [], 7: [], 8: []}
+
+
 NOTICES = {k: licenses.words(t) for k, t in licenses.TEMPLATES.items() if len(licenses.words(t)) <= licenses.NOTICE}
 PHRASES = {k: [licenses.words(p) for p in ps] for k, ps in licenses.TELLING.items()}
 

@@ -32,12 +32,12 @@ BASE = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Looser candidates: written-out addresses, national numbers, social security numbers, keys and passwords.
+#: Looser candidates: written-out addresses, national numbers, social security numbers, keys and passwords, of any length.
 LOOSE = {
-    "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]{1,64}(?:\x20?(?:[(\[]dot[)\]]|\.)\x20?[A-Za-z0-9-]{1,64})+",
+    "email": r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[(\[]at[)\]]\x20?[A-Za-z0-9-]++(?:\x20?(?:[(\[]dot[)\]]|\.)\x20?[A-Za-z0-9-]++)++",
     "phone": r"(?<![0-9+])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
-    "secret": r"(?i)(?<=[=:]\x20?[\"'])[A-Za-z0-9_+/-]{16,256}(?=[\"'])",
+    "secret": r"(?i)(?<=[=:]\x20?[\"'])[A-Za-z0-9_+/-]{16,}+(?=[\"'])",
 }
 #: In the order in which spans are listed.
 KINDS = ("email", "ip", "card", "phone", "ssn", "secret")
