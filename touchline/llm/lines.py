@@ -15,6 +15,7 @@ first few leave it, round by round.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +34,13 @@ SHINGLE, SIMILAR = 5, 0.8
 #: Bands, and rows of a band: of two lines that are 0.8 alike 98.6 % share a bucket, of 0.85 99.9 %.
 BANDS, ROWS = 14, 6
 #: Buckets of at most this many lines have all their pairs compared at once, larger ones in rounds, with so many firsts in each.
-#: After the first round, which leaves few of a group of copies, they are LATER and 4 times as large.
-LISTED, FIRSTS, LATER = 8, 4, 32
+#: The first round is there for copies: the buckets of a group mostly have one first, so that a line is compared about once.
+#: In those after it they are LATER and 16 times as large.
+LISTED, FIRSTS, LATER = 2, 1, 128
 #: A line less alike than NEAR to a second isn't similar to any that is similar to this one, as 1 - Jaccard is a metric.
 NEAR = 2 * SIMILAR - 1
-#: Characters of the lines that are signed at once (one line at least).
-BATCH = 1 << 18
+#: Characters of the lines that are signed at once (one line at least), and of those whose shingles a comparing task remembers.
+BATCH, REMEMBERED = 1 << 18, 1 << 22
 U = np.uint64
 _draw = np.random.default_rng(7)
 FACTORS = _draw.integers(1 << 31, 1 << 32, BANDS * ROWS).astype(np.uint32) | np.uint32(1)
@@ -51,13 +53,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def runs_of(text: str) -> np.ndarray:
+    """64-bit hashes of the runs of SHINGLE characters, in order; one of a shorter text as a whole."""
+    chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
+    width = min(SHINGLE, len(chars))
+    runs = chars[:len(chars) - width + 1].copy() if width else np.zeros(1, U)
+    for k in range(1, width):
+        runs = runs * U(0x9E3779B97F4A7C15) + chars[k:len(chars) - width + 1 + k]
+    return runs
+
+
 def band_keys(lines: list[str]) -> np.ndarray:
     """The BANDS bucket keys of some lines of SHINGLE characters at least, a row per line."""
     n = np.array([len(x) for x in lines], np.int64)
-    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(U)
-    runs = chars[:len(chars) - SHINGLE + 1].copy()
-    for k in range(1, SHINGLE):
-        runs = runs * U(0x9E3779B97F4A7C15) + chars[k:len(chars) - SHINGLE + 1 + k]
+    runs = runs_of("".join(lines))
     # The last runs of a line would reach into the next one.
     own = np.ones(len(runs), bool)
     ends = np.cumsum(n)
@@ -123,21 +132,34 @@ def occurrences(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs with `shared` and `all`, how many shingles are in both lines and in either."""
+    """The pairs with `shared` and `all`, how many shingles are in both lines and in either.
+
+    Shingles are told apart by 64 bits of hash.  A task remembers those of the last lines, up to
+    REMEMBERED of them and one line at least.
+    """
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def runs(line: str) -> set[str]:
-            return {line[k:k + SHINGLE] for k in range(max(1, len(line) - SHINGLE + 1))}
+        held: dict[int, np.ndarray] = {}
+        n = 0
+
+        def shingles(lk: int, line: pa.Scalar) -> np.ndarray:
+            nonlocal n
+            if lk not in held:
+                runs = np.sort(runs_of(line.as_py()))
+                runs = runs[np.concatenate(([True], runs[1:] != runs[:-1]))]
+                if n + len(runs) > REMEMBERED:
+                    held.clear()
+                    n = 0
+                held[lk] = runs
+                n += len(runs)
+            return held[lk]
 
-        last, one = None, set()
         for b in batches:
             shared, either = [], []
-            for x, y in zip(b.column("a"), b.column("b"), strict=True):
-                x, y = x.as_py(), y.as_py()
-                if x != last:
-                    last, one = x, runs(x)
-                two = runs(y)
-                shared.append(len(one & two))
-                either.append(len(one) + len(two) - shared[-1])
+            for u, v, x, y in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), b.column("a"), b.column("b"), strict=True):
+                one, two = shingles(u, x), shingles(v, y)
+                both = np.sort(np.concatenate((one, two)))
+                shared.append(int(np.count_nonzero(both[1:] == both[:-1])))
+                either.append(len(both) - shared[-1])
             yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v"), pa.array(shared, pa.int32()), pa.array(either, pa.int32())], names=["u", "v", "shared", "all"])
 
     # As many tasks as a shuffle has, even where the lines are broadcast: comparing is the work.
@@ -165,7 +187,11 @@ def classes(docs: DataFrame, signatures: DataFrame, least: int = LEAST) -> DataF
     texts = occurrences(docs, least).select("lk", "line").where(Flags(ends, "lk").has("lk")).groupBy("lk").agg(F.first("line").alias("line"))
     texts = cut(texts.join(ends, "lk", "left_semi"), "line-texts")
     similar = lambda df: df.where(F.col("shared") >= SIMILAR * F.col("all")).select("u", "v")
-    links, roots, rounds, listed, firsts_of = None, None, [], LISTED, FIRSTS
+    roots, seen, rounds, listed, firsts_of = None, [], [], LISTED, FIRSTS
+
+    def grown(found: DataFrame) -> DataFrame:
+        links = similar(found)
+        return cut(components(links if roots is None else roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links)), "line-roots")
 
     def rooted(df: DataFrame, line: str, name: str) -> DataFrame:
         return df.join(roots.select(F.col("node").alias(line), F.col("root").alias(name)), line, "left").withColumn(name, F.coalesce(name, line))
@@ -178,27 +204,33 @@ def classes(docs: DataFrame, signatures: DataFrame, least: int = LEAST) -> DataF
         many = rows.where(F.col("n") > listed).select("key", "lk")
         firsts = many.withColumn("k", F.row_number().over(W.partitionBy("key").orderBy("lk"))).where(F.col("k") <= firsts_of).select("key", F.col("lk").alias("lo"))
         stars = many.join(firsts, "key").where("lk <> lo").select("key", "lo", "lk")
-        seen = cut(compared(pairs.union(stars.select(F.least("lo", "lk").alias("u"), F.greatest("lo", "lk").alias("v"))).distinct(), texts), "line-pairs")
-        links = similar(seen) if links is None else links.union(similar(seen))
-        roots = cut(components(links), "line-roots")
+        pairs = pairs.union(stars.select(F.least("lo", "lk").alias("u"), F.greatest("lo", "lk").alias("v"))).distinct()
+        for known in seen:
+            pairs = pairs.join(known, ["u", "v"], "left_anti")
+        seen.append(cut(compared(pairs, texts), "line-pairs"))
+        roots = grown(seen[-1])
         if many.isEmpty():
             break
         kind = F.when(F.col("shared") >= SIMILAR * F.col("all"), 2).when(F.col("shared") >= NEAR * F.col("all"), 1).otherwise(0)
-        both = stars.withColumns({"u": F.least("lo", "lk"), "v": F.greatest("lo", "lk")}).join(seen, ["u", "v"]).select("key", "lo", "lk", kind.alias("kind"))
+        every = reduce(DataFrame.union, seen)
+        both = stars.withColumns({"u": F.least("lo", "lk"), "v": F.greatest("lo", "lk")}).join(every, ["u", "v"]).select("key", "lo", "lk", kind.alias("kind"))
         rounds.append(cut(both, "line-kinds"))
         left = rounds[-1].groupBy("key", "lk").agg(F.max("kind").alias("kind")).where("kind < 2").select("key", "lk").join(firsts.select("key", F.col("lo").alias("lk")), ["key", "lk"], "left_anti")
         apart = F.min("r") != F.max("r")
         open_keys = rooted(left, "lk", "r").groupBy("key").agg(F.count(F.lit(1)).alias("n"), apart.alias("apart")).where("apart").select("key", "n")
         rows, done = cut(left.join(open_keys, "key").select("key", "lk", "n"), "line-buckets"), rows
         forget(done)
-        listed, firsts_of = LISTED * LATER, FIRSTS * 4
+        listed, firsts_of = LISTED * LATER, FIRSTS * 16
+    acrosses = []
     for stars in rounds:
         near = rooted(rooted(stars.where("kind = 1"), "lk", "rb"), "lo", "ra").where("ra <> rb").select("key", "lo", F.col("lk").alias("b"))
         across = stars.where("kind = 2").select("key", "lo", F.col("lk").alias("a")).join(near, ["key", "lo"]).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-        links = links.union(similar(cut(compared(across, texts), "line-across")))
+        for known in [*seen, *acrosses]:
+            across = across.join(known, ["u", "v"], "left_anti")
+        acrosses.append(cut(compared(across, texts), "line-across"))
     if rounds:
-        roots = cut(components(links), "line-roots")
-    forget(rows, ends, texts, *rounds)
+        roots = grown(reduce(DataFrame.union, acrosses))
+    forget(rows, ends, texts, *rounds, *seen, *acrosses)
     return roots
 
 
