@@ -40,3 +40,15 @@ def test_signature_is_that_of_the_line_hash(spark):
     docs = spark.createDataFrame([("häuser und gärten\nabc\n   \n日本語のテキスト行",)], "text string")
     lk = {x["lk"] for x in lines.buckets(docs, 1).collect()}
     assert lk == {x["lk"] for x in lines.occurrences(docs.selectExpr("1 AS id", "text"), 1).collect() if len(x["line"]) >= lines.SHINGLE}
+
+
+def test_compared_counts_as_sets_do(spark, monkeypatch):
+    monkeypatch.setattr(lines, "REMEMBERED", 300)
+    r = random.Random(22)
+    texts = [prose(r, 30) for _ in range(12)] + ["", "x", "abc", "abcd", "abcde", "a" * 40, "日本語のテキスト行", "é𝄞" * 9, "one " * 500]
+    texts += [edited(r, t, 3) for t in texts if len(t) > 20]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts))]
+    table = spark.createDataFrame(list(enumerate(texts)), "lk long, line string")
+    got = {(x["u"], x["v"]): (x["shared"], x["all"]) for x in lines.compared(spark.createDataFrame(pairs, "u long, v long"), table).collect()}
+    sets = [{t[k:k + lines.SHINGLE] for k in range(max(1, len(t) - lines.SHINGLE + 1))} for t in texts]
+    assert got == {(i, j): (len(sets[i] & sets[j]), len(sets[i] | sets[j])) for i, j in pairs}
