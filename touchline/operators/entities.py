@@ -33,7 +33,9 @@ def resolve(mentions: DataFrame, candidates: DataFrame, known: DataFrame) -> Dat
     Stages run on what the one before left over, and on distinct names rather
     than rows: each distinct (name, team) is scored once against the distinct
     names of its own team (a team can be named by one side only, then it blocks
-    nothing and cannot link).  Ties go to the least id.
+    nothing and cannot link).  Ties go to the least id.  Only equal names score 1,
+    so a name found among its team's is settled by a join and meets no other:
+    names of one pattern would meet all of their team.
     """
     m = mentions.select("feed", "feed_id", F.coalesce("birth_date", F.lit("")).alias("birth_date"), _normalise("name").alias("norm"), _normalise("team").alias("team_norm"),
                         F.concat_ws(":", "feed", "feed_id").alias("feed_key"))
@@ -46,9 +48,13 @@ def resolve(mentions: DataFrame, candidates: DataFrame, known: DataFrame) -> Dat
     # a candidate without a team is compared with every team's mentions
     mine = c.filter("team_norm <> ''").groupBy("team_norm", "sorted_name").agg(F.min("canonical_id").alias("canonical_id"))
     free = c.filter("team_norm = ''").groupBy("sorted_name").agg(F.min("canonical_id").alias("canonical_id"))
+    key, named = ["team_norm", "target"], left.filter("target <> ''")
+    equal = named.join(mine.withColumnRenamed("sorted_name", "target"), key).unionByName(named.join(free.withColumnRenamed("sorted_name", "target"), "target"))
+    equal = equal.groupBy(*key).agg(F.min("canonical_id").alias("fuzzy_id"))
+    left = left.join(equal, key, "left_anti")
     pairs = _possible(left, mine, ["team_norm"]).unionByName(_possible(left, free, []))
     scored = pairs.withColumn("score", T.jaro_winkler("target", "sorted_name")).filter(F.col("score") >= FUZZY)
-    best = scored.groupBy("team_norm", "target").agg(F.min_by("canonical_id", F.struct(-F.col("score"), "canonical_id")).alias("fuzzy_id"), F.max("score").alias("score"))
+    best = scored.groupBy(*key).agg(F.min_by("canonical_id", F.struct(-F.col("score"), "canonical_id")).alias("fuzzy_id")).unionByName(equal)
     j = j.withColumn("target", T.token_sorted(F.col("norm"))).join(best, ["team_norm", "target"], "left")
     method = (F.when(F.col("alias_id").isNotNull(), "alias").when(F.col("exact_id").isNotNull(), "exact")
               .when(F.col("fuzzy_id").isNotNull(), "fuzzy").otherwise("unresolved"))
