@@ -201,21 +201,26 @@ NOTE_KNOCKOUT = "This is a knockout competition, so there is no table - every ma
 
 
 def season_facts(cards: DataFrame) -> DataFrame:
-    """Per season: matches held, matches of a full league, groups, rule set.
+    """Per season: matches held, different pairings, matches of a full league, groups, rule set.
 
     `cards`: competition_id, season_id, international, stage, kickoff, home_id,
     away_id, home_goals, away_goals.
     """
     grp = F.col("stage") == "Group Stage"
-    both = F.explode(F.array("home_id", "away_id")).alias("team_id")
-    teams = cards.select(*SEASON, both).distinct().groupBy(*SEASON).agg(F.count(F.lit(1)).alias("teams"))
-    facts = cards.groupBy(*SEASON).agg(F.count(F.lit(1)).alias("matches"), F.bool_or(grp).alias("has_groups"),
-                                       F.bool_or("international").alias("international"))
+    pairs = cards.dropna(subset=SEASON).groupBy(*SEASON, "home_id", "away_id").agg(
+        F.count(F.lit(1)).alias("n"), F.bool_or(grp).alias("has_groups"), F.bool_or("international").alias("international"))
+    # one pass: a season's pairings, then its teams, those at home with the figures
+    side = F.explode(F.array(F.struct(F.col("home_id").alias("team_id"), F.col("n"), F.lit(1).alias("one")),
+                             F.struct(F.col("away_id").alias("team_id"), F.lit(0).cast("long").alias("n"), F.lit(0).alias("one"))))
+    teams = pairs.select(*SEASON, "has_groups", "international", side.alias("s")).groupBy(*SEASON, "s.team_id").agg(
+        F.sum("s.n").alias("n"), F.sum("s.one").alias("pairings"), F.bool_or("has_groups").alias("has_groups"), F.bool_or("international").alias("international"))
+    facts = teams.groupBy(*SEASON).agg(F.sum("n").alias("matches"), F.bool_or("has_groups").alias("has_groups"), F.bool_or("international").alias("international"),
+                                       F.count(F.lit(1)).alias("teams"), F.sum("pairings").alias("pairings"))
     rule = F.when(F.col("has_groups"), _rule_column(GROUP_RULES, DEFAULT_GROUP_RULE)).when(
         ~F.col("international"), _rule_column(LEAGUE_RULES, None))
     expected = F.col("teams") * (F.col("teams") - 1)
     covered = F.coalesce(F.try_divide(F.col("matches"), expected), F.lit(0.0)) >= MIN_LEAGUE_COVERAGE
-    return facts.join(teams, SEASON).withColumns({"expected": expected, "rule_set": rule, "covered": covered})
+    return facts.withColumns({"expected": expected, "rule_set": rule, "covered": covered})
 
 
 def season_notes(facts: DataFrame) -> DataFrame:
