@@ -233,9 +233,13 @@ def season_notes(facts: DataFrame) -> DataFrame:
 
 
 def season_tables(cards: DataFrame, facts: DataFrame) -> DataFrame:
-    """Tables only where they are honest: groups, or a (nearly) full league."""
+    """Tables only where they are honest: groups, or a (nearly) full league.
+
+    A pairing held many times does not stand for those that are missing.
+    """
     facts = cut(facts, "seasons")
-    shown = facts.filter(F.col("has_groups") | (F.col("rule_set").isNotNull() & F.col("covered"))).select(*SEASON, "rule_set", "has_groups")
+    full = F.col("covered") & (F.col("pairings") >= F.col("expected") * MIN_LEAGUE_COVERAGE)
+    shown = facts.filter(F.col("has_groups") | (F.col("rule_set").isNotNull() & full)).select(*SEASON, "rule_set", "has_groups")
     used = cards.join(shown, SEASON).filter(~F.col("has_groups") | (F.col("stage") == "Group Stage"))
     team_group = groups(used.filter("has_groups"), SEASON).withColumnRenamed("team_id", "home_id")
     used = used.join(team_group, [*SEASON, "home_id"], "left").withColumn("group_no", F.coalesce("group_no", F.lit(0)))
