@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from touchline.functions import numeric as N
 from touchline.functions import pitch as P
@@ -102,21 +103,20 @@ def choose(cands: DataFrame, limit: int = MAX_MOMENTS) -> DataFrame:
     return cands.filter("mandatory").unionByName(may)
 
 
-def _keep_larger(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One period of one match: walk by swing; a moment near a kept one goes,
-    unless it is mandatory and displaces optional ones."""
-    pdf = pdf.sort_values(["swing", "mandatory", "minute", "second", "idx", "event_id"],
-                          ascending=[False, False, True, True, True, True], kind="stable")
-    at = (pdf["minute"] * 60 + pdf["second"]).to_numpy()
-    must = pdf["mandatory"].to_numpy()
+def _keep_larger(at: np.ndarray, must: np.ndarray) -> list[int]:
+    """One period of one match, by swing: places that stay; a moment near a kept
+    one goes, unless it is mandatory and displaces optional ones."""
     kept: list[int] = []
-    for i in range(len(pdf)):
+    for i in range(len(at)):
         near = [k for k in kept if abs(at[k] - at[i]) <= WINDOW_S]
-        blocking = [k for k in near if not (must[i] and not must[k])]
-        if blocking:
-            continue
-        kept = [k for k in kept if k not in near] + [i]
-    return pdf.iloc[np.sort(kept)] if kept else pdf.iloc[:0]
+        if all(must[i] and not must[k] for k in near):
+            kept = [k for k in kept if k not in near] + [i]
+    return kept
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def _kept(at: pd.Series, must: pd.Series) -> pd.Series:
+    return pd.Series([_keep_larger(a, m) for a, m in zip(at, must)], index=at.index, dtype=object)
 
 
 def suppress_duplicates(chosen: DataFrame) -> DataFrame:
@@ -124,11 +124,17 @@ def suppress_duplicates(chosen: DataFrame) -> DataFrame:
 
     A swing depends only on the minute, so of several moments of one kind of
     importance in the same second only the first can survive; dropping the rest
-    first bounds each period to the seconds it has, and the walk to that.
+    first bounds each period to the seconds it has, and the walk to that.  Periods
+    are walked many to a batch: only times and importance go to Python.
     """
     w = Window.partitionBy("match_id", "period", "minute", "second", "mandatory").orderBy("idx", "event_id")
     first = chosen.withColumn("n", F.row_number().over(w)).filter("n = 1").drop("n")
-    return first.groupBy("match_id", "period").applyInPandas(_keep_larger, first.schema)
+    by_swing = F.struct(F.isnull("swing").alias("none"), (-F.col("swing")).alias("less"), (~F.col("mandatory")).alias("may"), "minute", "second", "idx", "event_id",
+                        F.struct(*chosen.columns).alias("row"))
+    periods = first.groupBy("match_id", "period").agg(F.array_sort(F.collect_list(by_swing)).alias("m"))
+    at = F.transform("m", lambda x: x["minute"] * 60 + x["second"])
+    kept = periods.withColumn("kept", _kept(at, F.transform("m", lambda x: ~x["may"])))
+    return kept.select(F.explode(F.transform("kept", lambda i: F.col("m")[i]["row"])).alias("row")).select("row.*")
 
 
 def biggest_swing(moments: DataFrame) -> DataFrame:
