@@ -8,6 +8,7 @@ instead; nothing here is needed by the operators.
 from __future__ import annotations
 
 import re
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
@@ -164,6 +165,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     def derive() -> DataFrame:
         sql, needs = VIEWS[name]
         frames = {n: table(spark, sf_dir, n) for n in needs}
+        if needs == ("events",):
+            frames["events"] = _spread(frames["events"])
         for n in needs:
             sql = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {{{n}}}", sql)
         return spark.sql(sql, **frames)
@@ -171,6 +174,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return once(spark, sf_dir, name, derive)
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A small file is read by few tasks; deriving from it takes far longer than moving its rows."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks, "event_id") if df.rdd.getNumPartitions() < tasks else df
+
+
+@contextmanager
+def _compiled(spark: SparkSession):
+    """For a write of very many expressions: those that give methods the JVM would only interpret (above 8000 bytes) are generated in parts."""
+    name = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "8000")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def once(spark: SparkSession, sf_dir: str, name: str, derive) -> DataFrame:
     """Derive a table the first time this application asks for it.
 
@@ -181,7 +202,8 @@ def once(spark: SparkSession, sf_dir: str, name: str, derive) -> DataFrame:
     if key not in _written:
         path = scratch(spark, name)
         df = derive()
-        df.write.parquet(path)
+        with _compiled(spark):
+            df.write.parquet(path)
         _written[key] = (path, df.schema)
     path, schema = _written[key]
     return spark.read.schema(schema).parquet(path)
