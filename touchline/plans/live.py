@@ -15,14 +15,18 @@ from touchline.streaming import live as LV
 from touchline.streaming import social as SO
 
 
+FILES, FILE_ROWS = 4, 250_000
+
+
 def _feed_files(spark, d, extra=None):
-    """Records in scrambled order, a third of them delivered twice."""
+    """Records in scrambled order, a third of them delivered twice; (path, number of files), four or more: a file is of bounded size."""
     e, k = table(spark, d, "match_events").drop("match_day"), table(spark, d, "corrections")
     recs = LV.encoded(e, k)
     again = recs.filter(F.pmod(F.xxhash64("body"), F.lit(3)) == 0)
     path = scratch(spark, "records")
-    recs.unionByName(again).repartition(4, F.xxhash64("body") % 1000, F.rand(7)).write.parquet(path)
-    return path
+    files = max(FILES, -(-(e.count() + k.count()) // FILE_ROWS))
+    recs.unionByName(again).repartition(files, F.xxhash64("body") % 1000, F.rand(7)).write.parquet(path)
+    return path, files
 
 
 def _live(spark, d):
@@ -35,7 +39,8 @@ def _run(spark, d):
     key = (spark.sparkContext.applicationId, d)
     if key not in _logs:
         log = _live(spark, d)
-        q = log.start(LV.read_stream(spark, _feed_files(spark, d), files_per_batch=2), scratch(spark, "ckpt"))
+        path, files = _feed_files(spark, d)
+        q = log.start(LV.read_stream(spark, path, files_per_batch=-(-files // 2)), scratch(spark, "ckpt"))
         q.awaitTermination()
         _logs[key] = log
     return _logs[key]
@@ -66,9 +71,11 @@ def stream_reset_in_batch(spark, d):
     gone = LV.resets(e.filter("match_id % 5 = 0").select("match_id").distinct()).withColumn("seq", far)
     again = recs.filter("match_id IN (5, 10)").withColumn("seq", F.when(F.col("match_id") == 5, far + 1).otherwise(far - 1))
     path = scratch(spark, "records")
-    for batch in (recs.withColumn("seq", F.lit(1).cast("long")), gone.unionByName(again)):
-        batch.coalesce(1).write.mode("append").parquet(path)
-    log.start(LV.read_stream(spark, path, files_per_batch=1), scratch(spark, "ckpt")).awaitTermination()
+    # Older files first: all of the first write are one micro-batch, the one file of the second is the next.
+    recs.withColumn("seq", F.lit(1).cast("long")).write.parquet(path)
+    first = len(spark.read.parquet(path).inputFiles())
+    gone.unionByName(again).repartition(1).write.mode("append").parquet(path)
+    log.start(LV.read_stream(spark, path, files_per_batch=first), scratch(spark, "ckpt")).awaitTermination()
     return log.visible("event").groupBy("match_id").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -108,7 +108,10 @@ class LiveLog:
             self._write(new.join(old, ["match_id", self.ids[kind]], "left_anti"), kind, batch_id)
 
     def _write(self, df: DataFrame, name: str, batch_id: int) -> None:
-        """Partitioned by batch: a retried batch replaces its own output."""
+        """Partitioned by batch: a retried batch replaces its own output.  A bucket's rows are
+        brought together first, so the files grow with the rows and not with tasks times buckets."""
+        if "bucket" in df.columns:
+            df = df.hint("rebalance", F.col("bucket"))
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*[c for c in ("batch_id", "bucket") if c in df.columns]).parquet(f"{self.root}/{name}")
 
     def touched(self, batch: DataFrame) -> DataFrame:
