@@ -8,14 +8,14 @@ union-find, and of each component the first line in the corpus stays.
 
 Signatures and similarities are worked out on Arrow batches, all lines of a batch at
 once; all else is DataFrame functions.  A line that is there many times is signed once a
-batch.  Pairs are listed within small buckets only: in larger ones the lines like one of the
-first few leave it, round by round.
+batch.  Pairs are listed within small buckets only: in larger ones lines are compared if they share
+a rare shingle, without which they can't be similar.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,12 +33,11 @@ LEAST = 40
 SHINGLE, SIMILAR = 5, 0.8
 #: Bands, and rows of a band: of two lines that are 0.8 alike 98.6 % share a bucket, of 0.85 99.9 %.
 BANDS, ROWS = 14, 6
-#: Buckets of at most this many lines have all their pairs compared at once, larger ones in rounds, with so many firsts in each.
-#: The first round is there for copies: the buckets of a group mostly have one first, so that a line is compared about once.
-#: In those after it they are LATER and 16 times as large.
-LISTED, FIRSTS, LATER = 2, 1, 128
-#: A line less alike than NEAR to a second isn't similar to any that is similar to this one, as 1 - Jaccard is a metric.
-NEAR = 2 * SIMILAR - 1
+#: So many times each line is compared with one other of a bucket. Of the buckets that are not in one component then, those of at most
+#: LISTED lines have all their pairs compared; in larger ones only lines that share a rare shingle are.
+FIRSTS, LISTED = 2, 4
+#: Of so many lines the most frequent shingles are counted, and so many of them are known when rare ones are looked for.
+SAMPLED, FREQUENT = 1 << 13, 1 << 16
 #: Characters of the lines that are signed at once (one line at least), and of those whose shingles a comparing task remembers.
 BATCH, REMEMBERED = 1 << 18, 1 << 22
 U = np.uint64
@@ -168,15 +167,77 @@ def compared(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long, shared int, all int")
 
 
+def shingles_of(line: str) -> np.ndarray:
+    return np.unique(runs_of(line))
+
+
+def common_runs(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The FREQUENT most frequent shingles of about SAMPLED lines, sorted, and in how many of these each is.
+
+    They only give an order in which rare shingles come first: another one costs time, not pairs.
+    """
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for line in b.column("line"):
+                yield pa.RecordBatch.from_arrays([pa.array(shingles_of(line.as_py()).view(np.int64))], names=["h"])
+
+    some = texts.where(F.pmod(F.xxhash64("lk"), F.lit(1 + texts.count() // SAMPLED)) == 0)
+    n = some.select("line").mapInArrow(each, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    top = sorted((r["h"], r["n"]) for r in n.where("n > 1").orderBy(F.col("n").desc(), "h").limit(FREQUENT).collect())
+    h, n = np.array([x[0] for x in top], np.int64).view(U), np.array([x[1] for x in top], np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def rare_first(texts: DataFrame, h: np.ndarray, n: np.ndarray) -> DataFrame:
+    """`lk`, `r`, `s`, `i`, `h`: of each line with `s` shingles those that a longer similar line shares one of, rarest first.
+
+    A line similar to one of s shingles has SIMILAR * s of them at least; of two sets with so many in common the first common one
+    stands in front of all but so many, in either.
+    """
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lk, r, line in zip(b.column("lk").to_pylist(), b.column("r").to_pylist(), b.column("line"), strict=True):
+                runs = shingles_of(line.as_py())
+                often = np.zeros(len(runs), np.int64)
+                if len(h):
+                    at = np.minimum(np.searchsorted(h, runs), len(h) - 1)
+                    often = np.where(h[at] == runs, n[at], 0)
+                k = len(runs) - math.ceil(SIMILAR * len(runs) - 1e-6) + 1
+                first = runs[np.lexsort((mixed(runs), often))[:k]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, lk, np.int64)), pa.array(np.full(k, r, np.int64)), pa.array(np.full(k, len(runs), np.int32)),
+                                                  pa.array(np.arange(k, dtype=np.int32)), pa.array(first.view(np.int64))], names=["lk", "r", "s", "i", "h"])
+
+    return texts.select("lk", "r", "line").mapInArrow(each, "lk long, r long, s int, i int, h long")
+
+
+def possible(texts: DataFrame) -> DataFrame:
+    """`u`, `v`, `k`: all pairs of lines of different `r` that can be similar, and how many rare shingles they share; `texts` has `lk`, `r`, `line`.
+
+    The shorter of two similar lines has 2 * SIMILAR / (1 + SIMILAR) of its shingles in the other, so that fewer of its first ones do.
+    What is common to many lines stands last in all of them and makes no pair by itself.
+    """
+    both = 2 * SIMILAR / (1 + SIMILAR)
+    p = cut(rare_first(texts, *common_runs(texts)), "line-rare")
+    longer = p.select("h", *[F.col(c).alias(f"{c}2") for c in ("lk", "r", "s", "i")])
+    shorter = p.where(F.col("i") <= F.col("s") - F.ceil(both * F.col("s") - 1e-6))
+    order = F.struct("s", "lk") < F.struct("s2", "lk2")
+    left = 1 + F.least(F.col("s") - F.col("i"), F.col("s2") - F.col("i2")) - 1
+    near = (F.col("s") >= SIMILAR * F.col("s2") - 1e-6) & (left >= both / 2 * (F.col("s") + F.col("s2")) - 1e-6)
+    found = shorter.join(longer, "h").where(order & (F.col("r") != F.col("r2")) & near).select(F.least("lk", "lk2").alias("u"), F.greatest("lk", "lk2").alias("v"))
+    found = cut(found.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k")), "line-possible")
+    forget(p)
+    return found
+
+
 def classes(docs: DataFrame, signatures: DataFrame, least: int = LEAST) -> DataFrame:
     """`node`, `root` of the line hashes that are similar to another; `signatures` has `lk` and `key`, or `keys`.
 
-    Of any two lines of a bucket that are similar, both end in one component.  In a
-    bucket of LISTED lines at most all pairs are compared.  A larger one goes in rounds: its lines are
-    compared with the FIRSTS first.  Those similar to one of these leave the bucket: with it they are one
-    component.  The rest are the bucket of the next round, unless they are in one component by then.  At the end
-    those that left are compared with the lines that are NEAR to their first and in another component still.  Pairs whose
-    ends are in one component already can't change anything and are left out.  Without signatures there are no classes.
+    Of any two lines of a bucket that are similar, both end in one component.  First each line is compared with one
+    other of its buckets, FIRSTS times, each time within those buckets that aren't in one component yet.  Of those that are open then the
+    ones of LISTED lines at most have their pairs listed; in larger ones those pairs that share a rare shingle, as similar lines must
+    (`possible`), and nothing is lost.  Pairs whose ends are in one component already can't change anything and are left out.
+    Without signatures there are no classes.
     """
     w = W.partitionBy("key")
     if "key" not in signatures.columns:
@@ -187,50 +248,48 @@ def classes(docs: DataFrame, signatures: DataFrame, least: int = LEAST) -> DataF
     texts = occurrences(docs, least).select("lk", "line").where(Flags(ends, "lk").has("lk")).groupBy("lk").agg(F.first("line").alias("line"))
     texts = cut(texts.join(ends, "lk", "left_semi"), "line-texts")
     similar = lambda df: df.where(F.col("shared") >= SIMILAR * F.col("all")).select("u", "v")
-    roots, seen, rounds, listed, firsts_of = None, [], [], LISTED, FIRSTS
+    roots, seen, done = None, [], [ends, texts]
 
-    def grown(found: DataFrame) -> DataFrame:
-        links = similar(found)
-        return cut(components(links if roots is None else roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links)), "line-roots")
-
-    def rooted(df: DataFrame, line: str, name: str) -> DataFrame:
-        return df.join(roots.select(F.col("node").alias(line), F.col("root").alias(name)), line, "left").withColumn(name, F.coalesce(name, line))
-
-    while True:
-        few = rows.where(F.col("n") <= listed).select("key", F.col("lk").alias("u"))
-        pairs = few.join(few.withColumnRenamed("u", "v"), "key").where("u < v").select("u", "v").distinct()
-        if rounds:
-            pairs = rooted(rooted(pairs, "u", "ru"), "v", "rv").where("ru <> rv").select("u", "v")
-        many = rows.where(F.col("n") > listed).select("key", "lk")
-        firsts = many.withColumn("k", F.row_number().over(W.partitionBy("key").orderBy("lk"))).where(F.col("k") <= firsts_of).select("key", F.col("lk").alias("lo"))
-        stars = many.join(firsts, "key").where("lk <> lo").select("key", "lo", "lk")
-        pairs = pairs.union(stars.select(F.least("lo", "lk").alias("u"), F.greatest("lo", "lk").alias("v"))).distinct()
+    def tried(pairs: DataFrame) -> DataFrame:
         for known in seen:
             pairs = pairs.join(known, ["u", "v"], "left_anti")
         seen.append(cut(compared(pairs, texts), "line-pairs"))
-        roots = grown(seen[-1])
-        if many.isEmpty():
+        links = similar(seen[-1])
+        return cut(components(links if roots is None else roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links)), "line-roots")
+
+    def open_rows() -> DataFrame:
+        r = rows.select("key", "lk").join(roots.select(F.col("node").alias("lk"), F.col("root").alias("r")), "lk", "left").withColumn("r", F.coalesce("r", "lk"))
+        keys = r.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("a"), F.max("r").alias("b")).where("a <> b").select("key", "n")
+        return cut(r.join(keys, "key").select("key", "lk", "n", "r"), "line-buckets")
+
+    for turn in range(FIRSTS):
+        if turn and rows.isEmpty():
             break
-        kind = F.when(F.col("shared") >= SIMILAR * F.col("all"), 2).when(F.col("shared") >= NEAR * F.col("all"), 1).otherwise(0)
-        every = reduce(DataFrame.union, seen)
-        both = stars.withColumns({"u": F.least("lo", "lk"), "v": F.greatest("lo", "lk")}).join(every, ["u", "v"]).select("key", "lo", "lk", kind.alias("kind"))
-        rounds.append(cut(both, "line-kinds"))
-        left = rounds[-1].groupBy("key", "lk").agg(F.max("kind").alias("kind")).where("kind < 2").select("key", "lk").join(firsts.select("key", F.col("lo").alias("lk")), ["key", "lk"], "left_anti")
-        apart = F.min("r") != F.max("r")
-        open_keys = rooted(left, "lk", "r").groupBy("key").agg(F.count(F.lit(1)).alias("n"), apart.alias("apart")).where("apart").select("key", "n")
-        rows, done = cut(left.join(open_keys, "key").select("key", "lk", "n"), "line-buckets"), rows
-        forget(done)
-        listed, firsts_of = LISTED * LATER, FIRSTS * 16
-    acrosses = []
-    for stars in rounds:
-        near = rooted(rooted(stars.where("kind = 1"), "lk", "rb"), "lo", "ra").where("ra <> rb").select("key", "lo", F.col("lk").alias("b"))
-        across = stars.where("kind = 2").select("key", "lo", F.col("lk").alias("a")).join(near, ["key", "lo"]).select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-        for known in [*seen, *acrosses]:
-            across = across.join(known, ["u", "v"], "left_anti")
-        acrosses.append(cut(compared(across, texts), "line-across"))
-    if rounds:
-        roots = grown(reduce(DataFrame.union, acrosses))
-    forget(rows, ends, texts, *rounds, *seen, *acrosses)
+        # the other one is the first of a bucket, or the last in every second turn, and of these the one it shares most buckets with
+        r = rows if turn else rows.withColumn("r", F.col("lk"))
+        one = r.groupBy("key").agg((F.max if turn % 2 else F.min)(F.struct("lk", "r")).alias("o")).select("key", F.col("o.lk").alias("other"), F.col("o.r").alias("ro"))
+        pairs = r.join(one, "key").where("r <> ro").groupBy("lk", "other").agg(F.count(F.lit(1)).alias("k"))
+        for known in seen:
+            pairs = pairs.join(known.select(F.col("u").alias("lk"), F.col("v").alias("other")).union(known.select("v", "u")), ["lk", "other"], "left_anti")
+        pairs = pairs.groupBy("lk").agg(F.max_by("other", F.struct("k", "other")).alias("other"))
+        roots = tried(pairs.select(F.least("lk", "other").alias("u"), F.greatest("lk", "other").alias("v")).distinct())
+        done.append(rows)
+        rows = open_rows()
+    few = rows.where(F.col("n") <= LISTED).select("key", F.col("lk").alias("u"), F.col("r").alias("a"))
+    pairs = few.join(few.select("key", F.col("u").alias("v"), F.col("a").alias("b")), "key").where("u < v AND a <> b").select("u", "v")
+    many = cut(rows.where(F.col("n") > LISTED).groupBy("lk").agg(F.first("r").alias("r"), F.collect_set("key").alias("keys")), "line-many")
+    if not many.isEmpty():
+        found = possible(many.join(texts, "lk").select("lk", "r", "line"))
+        keys = lambda c: many.select(F.col("lk").alias(c), F.col("keys").alias(f"keys_{c}"))
+        found = cut(found.join(keys("u"), "u").join(keys("v"), "v").where(F.arrays_overlap("keys_u", "keys_v")).select("u", "v", "k"), "line-shared")
+        # the likeliest of each line first: most others are in one component then
+        best = [found.groupBy(one).agg(F.max_by(other, F.struct("k", other)).alias(other)).select("u", "v") for one, other in (("u", "v"), ("v", "u"))]
+        roots = tried(pairs.union(best[0]).union(best[1]).distinct())
+        root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}"))
+        pairs = found.join(root("u"), "u", "left").join(root("v"), "v", "left").where(F.coalesce("r_u", "u") != F.coalesce("r_v", "v")).select("u", "v")
+        done.append(found)
+    roots = tried(pairs.distinct())
+    forget(*done, rows, many, *seen)
     return roots
 
 
