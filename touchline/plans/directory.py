@@ -64,8 +64,14 @@ def front_page(spark, d):
     return CA.front_page(c, CA.collections(c), _stats(spark, d))
 
 
+def _listed(spark, d):
+    """Matches that have a card, without what only cards tell: names and dates don't wait for probabilities and stories."""
+    unknown = {f"{s}_{c}": F.lit(None).cast(t) for s in ("home", "away") for c, t in (("score", "long"), ("xg", "double"))}
+    return NA._matches(spark, d).join(C.corrected(spark, d).select("match_id").distinct(), "match_id", "left_semi").withColumns(unknown)
+
+
 def _index(spark, d):
-    c = _cards(spark, d)
+    c = _listed(spark, d)
     # names with accents, so that folding matters
     players = LB.players_catalog(A._rollup(spark, d)).withColumn("name", F.regexp_replace("name", "Player ", "Jugadór Núm "))
     return CA.search_index(CA.competition_catalog(c), CA.team_catalog(c), players)
