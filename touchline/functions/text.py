@@ -34,6 +34,15 @@ def fold(s: pd.Series) -> pd.Series:
     return s.map(_fold)
 
 
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.char_length(c)
+
+
+def folded(c: Column) -> Column:
+    """As `fold`; only texts that are not ASCII go through Python."""
+    return F.coalesce(F.when(is_ascii(c), F.lower(c)), fold(F.when(~is_ascii(c), c)))
+
+
 def collapse(c: Column) -> Column:
     """Runs of white space become one space; ends trimmed."""
     return F.trim(F.regexp_replace(c, r"(?U)\s+", " "))

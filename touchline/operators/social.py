@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import text as T
-from touchline.session import cut
+from touchline.session import cut, spread
 
 # Ages, caps, labels and the words that make a post football.
 MAX_AGE_H, KEEP_ALL, KEEP_EACH = 72, 3000, 600
@@ -26,7 +26,7 @@ def blocked(labels: Column) -> Column:
 
 def is_football(text: Column, has_topic: Column) -> Column:
     """Placed under a topic, or a football word outside the hashtags."""
-    return has_topic | F.regexp_replace(text, r"(?U)#\w+", " ").rlike(FOOTBALL)
+    return has_topic | F.when(text.contains("#"), F.regexp_replace(text, r"(?U)#\w+", " ")).otherwise(text).rlike(FOOTBALL)
 
 
 def recent(posts: DataFrame, now: Column, hours: int = MAX_AGE_H) -> DataFrame:
@@ -51,7 +51,7 @@ def classify(posts: DataFrame, aliases: DataFrame, lookalikes: dict[str, Sequenc
     """
     lookalikes = lookalikes or {}
     via = F.col("via") if "via" in posts.columns else F.lit(None).cast("string")
-    p = posts.select("post_id", via.alias("via"), T.fold("text").alias("txt"))
+    p = spread(posts.select("post_id", via.alias("via"), "text"), "post_id").select("post_id", "via", T.folded(F.col("text")).alias("txt"))
     # one more version of the text per competition whose look-alikes occur in it
     versions = [F.struct(F.lit(None).cast("string").alias("only"), F.col("txt").alias("txt"))]
     replaced = []
@@ -63,18 +63,20 @@ def classify(posts: DataFrame, aliases: DataFrame, lookalikes: dict[str, Sequenc
         replaced.append(F.when(t != F.col("txt"), F.lit(code)))
     cut_for = F.array_compact(F.array(*replaced)) if replaced else F.array().cast("array<string>")
     v = cut(p.select("post_id", "via", cut_for.alias("cut_for"), F.inline(F.array_compact(F.array(*versions)))), "texts")
-    # the words of a text, once each; the text itself is not carried along
-    words = v.select("post_id", "via", "cut_for", "only", F.explode(F.array_distinct(F.regexp_extract_all("txt", F.lit(WORD), F.lit(0)))).alias("word"))
+    # the words of a text, once each; the text itself is not carried along.  Of ASCII alone they are the same by the quick pattern
+    found = F.when(T.is_ascii(F.col("txt")), F.regexp_extract_all("txt", F.lit(r"\w+"), F.lit(0))).otherwise(F.regexp_extract_all("txt", F.lit(WORD), F.lit(0)))
+    words = v.select("post_id", "via", "cut_for", "only", F.explode(F.array_distinct(found)).alias("word"))
     tokens = F.regexp_extract_all("alias", F.lit(WORD), F.lit(0))
     longest = F.element_at(F.array_sort(F.transform(tokens, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), 1)["t"]
     a = aliases.filter(F.size(tokens) > 0).withColumns({"word": longest, "whole": F.col("alias") == longest})
     comp = F.col("kind") == "competition"
     right_text = F.when(F.col("only").isNull(), ~(comp & F.array_contains("cut_for", F.col("code")))).otherwise(comp & (F.col("only") == F.col("code")))
     near = words.join(a, "word").filter(right_text).select("post_id", "via", "only", "topic", "kind", "code", "side", "alias", "strong", "whole")
+    near = cut(near, "near")
     # a one-word alias is settled; of the rest, the text decides
     literal = F.concat(F.lit(r"(?U)(?<!\w)\Q"), F.col("alias"), F.lit(r"\E(?!\w)"))
     check = near.filter("NOT whole").withColumn("only", F.coalesce("only", F.lit("")))
-    texts = v.select("post_id", F.coalesce("only", F.lit("")).alias("only"), "txt")
+    texts = v.select("post_id", F.coalesce("only", F.lit("")).alias("only"), "txt").join(check.select("post_id", "only").distinct(), ["post_id", "only"], "left_semi")
     checked = check.join(texts, ["post_id", "only"]).filter(F.regexp_like("txt", literal)).drop("txt")
     named = near.filter("whole").unionByName(checked)
     side = lambda s, cond=F.lit(True): F.bool_or((F.col("side") == s) & cond)

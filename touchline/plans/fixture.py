@@ -13,7 +13,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from touchline.session import scratch
+from touchline.session import scratch, spread
 
 MATCH_EVENTS = """
 WITH base AS (
@@ -166,7 +166,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         sql, needs = VIEWS[name]
         frames = {n: table(spark, sf_dir, n) for n in needs}
         if needs == ("events",):
-            frames["events"] = _spread(frames["events"])
+            frames["events"] = spread(frames["events"], "event_id")
         for n in needs:
             sql = re.sub(rf"\b(FROM|JOIN) {n}\b", rf"\1 {{{n}}}", sql)
         return spark.sql(sql, **frames)
@@ -174,12 +174,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return once(spark, sf_dir, name, derive)
 
 
-def _spread(df: DataFrame) -> DataFrame:
-    """A small file is read by few tasks; deriving from it takes far longer than moving its rows."""
-    tasks = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(tasks, "event_id") if df.rdd.getNumPartitions() < tasks else df
-
-
 @contextmanager
 def _compiled(spark: SparkSession):
     """For a write of very many expressions: those that give methods the JVM would only interpret (above 8000 bytes) are generated in parts."""
