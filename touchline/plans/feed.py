@@ -8,6 +8,7 @@ from touchline.functions import text as T
 from touchline.operators import entities as EN
 from touchline.operators import social as SO
 from touchline.plans.fixture import table, with_views
+from touchline.session import spread
 
 LOOK = {"PL": ("scottish liga", "then thing"), "SA": ()}
 # two fixtures and two competitions, by words that occur in the documents
@@ -34,8 +35,8 @@ def classify(spark, d):
 def football(spark, d):
     """Relevance of documents and of conversation turns."""
     placed = classify(spark, d).select("post_id").distinct().withColumn("hit", F.lit(True))
-    docs = documents(spark, d).join(placed, "post_id", "left")
-    conv = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn") + 10_000_000).alias("post_id"), "text", F.lit(False).alias("hit"))
+    docs = spread(documents(spark, d), "post_id").join(placed, "post_id", "left")
+    conv = spread(table(spark, d, "conversations"), "conv_id").select((F.col("conv_id") * 1000 + F.col("turn") + 10_000_000).alias("post_id"), "text", F.lit(False).alias("hit"))
     both = docs.select("post_id", "text", F.coalesce("hit", F.lit(False)).alias("hit")).unionByName(conv)
     return both.select("post_id", SO.is_football(F.col("text"), F.col("hit")).alias("football"))
 
