@@ -18,6 +18,7 @@ from array import array
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,6 +50,7 @@ class Vocabulary:
     def __init__(self, lines: bytes, pattern: str):
         self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines.splitlines()) if a}
         self.token = dict(zip(self.rank.values(), self.rank.keys(), strict=True))
+        self.table = pa.array([self.token.get(t) for t in range(max(self.token) + 1)], pa.large_binary())
         self.pattern = regex.compile(pattern)
         self.size = {t: len(b) for t, b in self.token.items()}
         self.longest = max(self.size.values())
@@ -203,11 +205,15 @@ def remembered(lines: bytes, pattern: str) -> Remembered:
             memory.put(p, ids)
         return ids
 
+    def all_of(chunk: str) -> bytes:
+        # Letters alone, with or without a space in front, are one match.
+        pieces = [chunk] if chunk.isalpha() or chunk[0] == " " and chunk[1:].isalpha() else split(chunk)
+        return b"".join(map(one, pieces)) if len(pieces) > 1 else array("i", v.piece(chunk)).tobytes()
+
     def fresh(new: list[str]) -> list[bytes]:
-        split = v.pattern.findall
-        return [b"".join(map(one, split(chunk))) for chunk in new]
+        return list(map(all_of, new))
 
-    memory = Remembered(fresh)
+    split, memory = v.pattern.findall, Remembered(fresh)
     return memory
 
 
@@ -226,9 +232,13 @@ class Codec:
             return pa.array([np.frombuffer(p, "<i4") for p in parts], pa.list_(pa.int32()))
 
         def to_bytes(ids: pa.Array) -> pa.Array:
-            token, flat, ends = vocabulary(lines.value, pattern).token, ids.flatten().to_numpy(), np.cumsum([0, *ids.value_lengths().fill_null(0).to_pylist()])
-            return pa.array([b"".join(map(token.__getitem__, flat[a:b].tolist())) if ok else None
-                             for a, b, ok in zip(ends[:-1].tolist(), ends[1:].tolist(), ids.is_valid().to_pylist(), strict=True)], pa.binary())
+            v, ends = vocabulary(lines.value, pattern), np.cumsum([0, *ids.value_lengths().fill_null(0).to_pylist()])
+            tokens = v.table.take(ids.flatten())  # one behind the other, as the bytes of a row are
+            if tokens.null_count:
+                raise KeyError("unknown token id")
+            at = np.frombuffer(tokens.buffers()[1], "<i8")[tokens.offset:][:len(tokens) + 1][ends]
+            held = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ids), [None, pa.py_buffer(at.tobytes()), tokens.buffers()[2]])
+            return pc.if_else(ids.is_valid(), held, None).cast(pa.binary())
 
         self.ids = F.arrow_udf(to_ids, T.ArrayType(T.IntegerType()))
         self.bytes = F.arrow_udf(to_bytes, T.BinaryType())
