@@ -16,6 +16,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ BANDS, ROWS = 14, 6
 #: So many times each line is compared with one other of a bucket. Of the buckets that are not in one component then, those of at most
 #: LISTED lines have all their pairs compared; in larger ones only lines that share a rare shingle are.
 FIRSTS, LISTED = 2, 4
+#: Words of 64 bits of a line's sketch.
+SKETCH = 8
 #: Of so many lines the most frequent shingles are counted, and so many of them are known when rare ones are looked for.
 SAMPLED, FREQUENT = 1 << 13, 1 << 16
 #: Characters of the lines that are signed at once (one line at least), and of those whose shingles a comparing task remembers.
@@ -189,8 +193,17 @@ def common_runs(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return h[order], n[order]
 
 
+def sketch(runs: np.ndarray) -> np.ndarray:
+    """For each of 64 * SKETCH slots, whether the number of shingles in it is odd.
+
+    A slot that differs between two lines holds a shingle that only one of them has.
+    """
+    slots = np.bincount((mixed(runs) % U(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(slots.astype(np.uint8), bitorder="little").view(np.int64)
+
+
 def rare_first(texts: DataFrame, h: np.ndarray, n: np.ndarray) -> DataFrame:
-    """`lk`, `r`, `s`, `i`, `h`: of each line with `s` shingles those that a longer similar line shares one of, rarest first.
+    """`lk`, `r`, `s`, `i`, `h`, `bits`: of each line with `s` shingles those that a longer similar line shares one of, rarest first; its sketch is with the first.
 
     A line similar to one of s shingles has SIMILAR * s of them at least; of two sets with so many in common the first common one
     stands in front of all but so many, in either.
@@ -206,28 +219,37 @@ def rare_first(texts: DataFrame, h: np.ndarray, n: np.ndarray) -> DataFrame:
                 k = len(runs) - math.ceil(SIMILAR * len(runs) - 1e-6) + 1
                 first = runs[np.lexsort((mixed(runs), often))[:k]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(k, lk, np.int64)), pa.array(np.full(k, r, np.int64)), pa.array(np.full(k, len(runs), np.int32)),
-                                                  pa.array(np.arange(k, dtype=np.int32)), pa.array(first.view(np.int64))], names=["lk", "r", "s", "i", "h"])
+                                                  pa.array(np.arange(k, dtype=np.int32)), pa.array(first.view(np.int64)),
+                                                  pa.array([sketch(runs), *[None] * (k - 1)], pa.list_(pa.int64()))], names=["lk", "r", "s", "i", "h", "bits"])
 
-    return texts.select("lk", "r", "line").mapInArrow(each, "lk long, r long, s int, i int, h long")
+    return texts.select("lk", "r", "line").mapInArrow(each, "lk long, r long, s int, i int, h long, bits array<long>")
 
 
-def possible(texts: DataFrame) -> DataFrame:
-    """`u`, `v`, `k`: all pairs of lines of different `r` that can be similar, and how many rare shingles they share; `texts` has `lk`, `r`, `line`.
+def possible(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """`u`, `v`, `k`: all pairs of lines of one bucket and different `r` that can be similar, and how many rare shingles they share.
 
+    `texts` has `lk`, `r`, `line`, `keys` has `lk`, `keys`.
     The shorter of two similar lines has 2 * SIMILAR / (1 + SIMILAR) of its shingles in the other, so that fewer of its first ones do.
-    What is common to many lines stands last in all of them and makes no pair by itself.
+    What is common to many lines stands last in all of them and makes no pair by itself.  Of the pairs of a bucket those go whose
+    sketches alone tell more shingles apart than similar lines have.
     """
     both = 2 * SIMILAR / (1 + SIMILAR)
     p = cut(rare_first(texts, *common_runs(texts)), "line-rare")
     longer = p.select("h", *[F.col(c).alias(f"{c}2") for c in ("lk", "r", "s", "i")])
-    shorter = p.where(F.col("i") <= F.col("s") - F.ceil(both * F.col("s") - 1e-6))
+    shorter = p.where(F.col("i") <= F.col("s") - F.ceil(both * F.col("s") - 1e-6)).drop("bits")
     order = F.struct("s", "lk") < F.struct("s2", "lk2")
     left = 1 + F.least(F.col("s") - F.col("i"), F.col("s2") - F.col("i2")) - 1
     near = (F.col("s") >= SIMILAR * F.col("s2") - 1e-6) & (left >= both / 2 * (F.col("s") + F.col("s2")) - 1e-6)
     found = shorter.join(longer, "h").where(order & (F.col("r") != F.col("r2")) & near).select(F.least("lk", "lk2").alias("u"), F.greatest("lk", "lk2").alias("v"))
     found = cut(found.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k")), "line-possible")
-    forget(p)
-    return found
+    own = lambda c: keys.select(F.col("lk").alias(c), F.col("keys").alias(f"keys_{c}"))
+    shared = cut(found.join(own("u"), "u").join(own("v"), "v").where(F.arrays_overlap("keys_u", "keys_v")).select("u", "v", "k"), "line-shared")
+    end = lambda c: p.where("i = 0").select(F.col("lk").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("s", "bits")])
+    apart = reduce(add, [F.bit_count(F.get("bits_u", k).bitwiseXOR(F.get("bits_v", k))) for k in range(SKETCH)])
+    held = shared.join(end("u"), "u").join(end("v"), "v").where(apart <= (1 - both) * (F.col("s_u") + F.col("s_v")) + 1e-6)
+    held = cut(held.select("u", "v", "k"), "line-near")
+    forget(p, found, shared)
+    return held
 
 
 def classes(docs: DataFrame, signatures: DataFrame, least: int = LEAST) -> DataFrame:
@@ -279,9 +301,7 @@ def classes(docs: DataFrame, signatures: DataFrame, least: int = LEAST) -> DataF
     pairs = few.join(few.select("key", F.col("u").alias("v"), F.col("a").alias("b")), "key").where("u < v AND a <> b").select("u", "v")
     many = cut(rows.where(F.col("n") > LISTED).groupBy("lk").agg(F.first("r").alias("r"), F.collect_set("key").alias("keys")), "line-many")
     if not many.isEmpty():
-        found = possible(many.join(texts, "lk").select("lk", "r", "line"))
-        keys = lambda c: many.select(F.col("lk").alias(c), F.col("keys").alias(f"keys_{c}"))
-        found = cut(found.join(keys("u"), "u").join(keys("v"), "v").where(F.arrays_overlap("keys_u", "keys_v")).select("u", "v", "k"), "line-shared")
+        found = possible(many.join(texts, "lk").select("lk", "r", "line"), many.select("lk", "keys"))
         # the likeliest of each line first: most others are in one component then
         best = [found.groupBy(one).agg(F.max_by(other, F.struct("k", other)).alias(other)).select("u", "v") for one, other in (("u", "v"), ("v", "u"))]
         roots = tried(pairs.union(best[0]).union(best[1]).distinct())
