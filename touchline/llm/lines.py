@@ -8,13 +8,12 @@ union-find, and of each component the first line in the corpus stays.
 
 Signatures and similarities are worked out on Arrow batches, all lines of a batch at
 once; all else is DataFrame functions.  A line that is there many times is signed once a
-batch.  Pairs are listed within small buckets only: in larger ones lines are compared if they share
-a rare shingle, without which they can't be similar.
+batch.  Lines are compared only if their sketches allow that they are similar; sketches of all lines of a
+bucket meet, and of these pairs only those that pass leave the join.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from functools import reduce
 from operator import add
@@ -35,13 +34,11 @@ LEAST = 40
 SHINGLE, SIMILAR = 5, 0.8
 #: Bands, and rows of a band: of two lines that are 0.8 alike 98.6 % share a bucket, of 0.85 99.9 %.
 BANDS, ROWS = 14, 6
-#: So many times each line is compared with one other of a bucket. Of the buckets that are not in one component then, those of at most
-#: LISTED lines have all their pairs compared; in larger ones only lines that share a rare shingle are.
-FIRSTS, LISTED = 2, 4
+#: So many times each line is compared with one other of a bucket. Of the buckets that are not in one component then, lines of parts of about
+#: LISTED lines are compared with the one most like them, and what is still apart with all that can be similar.
+FIRSTS, LISTED = 1, 16
 #: Words of 64 bits of a line's sketch.
 SKETCH = 8
-#: Of so many lines the most frequent shingles are counted, and so many of them are known when rare ones are looked for.
-SAMPLED, FREQUENT = 1 << 13, 1 << 16
 #: Characters of the lines that are signed at once (one line at least), and of those whose shingles a comparing task remembers.
 BATCH, REMEMBERED = 1 << 18, 1 << 22
 U = np.uint64
@@ -175,24 +172,6 @@ def shingles_of(line: str) -> np.ndarray:
     return np.unique(runs_of(line))
 
 
-def common_runs(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The FREQUENT most frequent shingles of about SAMPLED lines, sorted, and in how many of these each is.
-
-    They only give an order in which rare shingles come first: another one costs time, not pairs.
-    """
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for line in b.column("line"):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles_of(line.as_py()).view(np.int64))], names=["h"])
-
-    some = texts.where(F.pmod(F.xxhash64("lk"), F.lit(1 + texts.count() // SAMPLED)) == 0)
-    n = some.select("line").mapInArrow(each, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-    top = sorted((r["h"], r["n"]) for r in n.where("n > 1").orderBy(F.col("n").desc(), "h").limit(FREQUENT).collect())
-    h, n = np.array([x[0] for x in top], np.int64).view(U), np.array([x[1] for x in top], np.int64)
-    order = np.argsort(h)
-    return h[order], n[order]
-
-
 def sketch(runs: np.ndarray) -> np.ndarray:
     """For each of 64 * SKETCH slots, whether the number of shingles in it is odd.
 
@@ -202,53 +181,37 @@ def sketch(runs: np.ndarray) -> np.ndarray:
     return np.packbits(slots.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def rare_first(texts: DataFrame, h: np.ndarray, n: np.ndarray) -> DataFrame:
-    """`lk`, `r`, `s`, `i`, `h`, `bits`: of each line with `s` shingles those that a longer similar line shares one of, rarest first; its sketch is with the first.
-
-    A line similar to one of s shingles has SIMILAR * s of them at least; of two sets with so many in common the first common one
-    stands in front of all but so many, in either.
-    """
+def sketched(texts: DataFrame) -> DataFrame:
+    """`lk`, `r` of the lines with `s`, the number of their shingles, and `bits`, their sketch."""
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lk, r, line in zip(b.column("lk").to_pylist(), b.column("r").to_pylist(), b.column("line"), strict=True):
+            n, bits = [], []
+            for line in b.column("line"):
                 runs = shingles_of(line.as_py())
-                often = np.zeros(len(runs), np.int64)
-                if len(h):
-                    at = np.minimum(np.searchsorted(h, runs), len(h) - 1)
-                    often = np.where(h[at] == runs, n[at], 0)
-                k = len(runs) - math.ceil(SIMILAR * len(runs) - 1e-6) + 1
-                first = runs[np.lexsort((mixed(runs), often))[:k]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(k, lk, np.int64)), pa.array(np.full(k, r, np.int64)), pa.array(np.full(k, len(runs), np.int32)),
-                                                  pa.array(np.arange(k, dtype=np.int32)), pa.array(first.view(np.int64)),
-                                                  pa.array([sketch(runs), *[None] * (k - 1)], pa.list_(pa.int64()))], names=["lk", "r", "s", "i", "h", "bits"])
+                n.append(len(runs))
+                bits.append(sketch(runs))
+            yield pa.RecordBatch.from_arrays([b.column("lk"), b.column("r"), pa.array(n, pa.int32()), pa.array(bits, pa.list_(pa.int64()))], names=["lk", "r", "s", "bits"])
 
-    return texts.select("lk", "r", "line").mapInArrow(each, "lk long, r long, s int, i int, h long, bits array<long>")
+    return texts.select("lk", "r", "line").mapInArrow(each, "lk long, r long, s int, bits array<long>")
 
 
 def possible(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """`u`, `v`, `k`: all pairs of lines of one bucket and different `r` that can be similar, and how many rare shingles they share.
+    """`u`, `v`, `k`: all pairs of lines of one bucket and different `r` that can be similar, and the part of their shingles that their sketches don't tell apart.
 
-    `texts` has `lk`, `r`, `line`, `keys` has `lk`, `keys`.
-    The shorter of two similar lines has 2 * SIMILAR / (1 + SIMILAR) of its shingles in the other, so that fewer of its first ones do.
-    What is common to many lines stands last in all of them and makes no pair by itself.  Of the pairs of a bucket those go whose
-    sketches alone tell more shingles apart than similar lines have.
+    `texts` has `lk`, `r`, `line`, or `s`, `bits` instead of this; `keys` has `lk`, `keys`.
+    Lines of a bucket meet with their sketches alone, and a pair leaves the join only if these tell no more shingles apart than similar
+    lines have, in the first bucket of those that both are in.
     """
     both = 2 * SIMILAR / (1 + SIMILAR)
-    p = cut(rare_first(texts, *common_runs(texts)), "line-rare")
-    longer = p.select("h", *[F.col(c).alias(f"{c}2") for c in ("lk", "r", "s", "i")])
-    shorter = p.where(F.col("i") <= F.col("s") - F.ceil(both * F.col("s") - 1e-6)).drop("bits")
-    order = F.struct("s", "lk") < F.struct("s2", "lk2")
-    left = 1 + F.least(F.col("s") - F.col("i"), F.col("s2") - F.col("i2")) - 1
-    near = (F.col("s") >= SIMILAR * F.col("s2") - 1e-6) & (left >= both / 2 * (F.col("s") + F.col("s2")) - 1e-6)
-    found = shorter.join(longer, "h").where(order & (F.col("r") != F.col("r2")) & near).select(F.least("lk", "lk2").alias("u"), F.greatest("lk", "lk2").alias("v"))
-    found = cut(found.groupBy("u", "v").agg(F.count(F.lit(1)).alias("k")), "line-possible")
-    own = lambda c: keys.select(F.col("lk").alias(c), F.col("keys").alias(f"keys_{c}"))
-    shared = cut(found.join(own("u"), "u").join(own("v"), "v").where(F.arrays_overlap("keys_u", "keys_v")).select("u", "v", "k"), "line-shared")
-    end = lambda c: p.where("i = 0").select(F.col("lk").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("s", "bits")])
+    p = cut((texts if "bits" in texts.columns else sketched(texts)).join(keys, "lk").select("*", F.explode("keys").alias("key")), "line-sketches")
+    u, v = (p.select("key", *[F.col(c).alias(f"{c}_{end}") for c in ("lk", "r", "s", "bits", "keys")]) for end in "uv")
+    shingles = F.col("s_u") + F.col("s_v")
     apart = reduce(add, [F.bit_count(F.get("bits_u", k).bitwiseXOR(F.get("bits_v", k))) for k in range(SKETCH)])
-    held = shared.join(end("u"), "u").join(end("v"), "v").where(apart <= (1 - both) * (F.col("s_u") + F.col("s_v")) + 1e-6)
-    held = cut(held.select("u", "v", "k"), "line-near")
-    forget(p, found, shared)
+    sizes = F.least("s_u", "s_v") >= SIMILAR * F.greatest("s_u", "s_v") - 1e-6
+    once = F.array_min(F.array_intersect("keys_u", "keys_v")) == u["key"]
+    pairs = u.join(v, (u["key"] == v["key"]) & (F.col("lk_u") < F.col("lk_v")) & (F.col("r_u") != F.col("r_v")) & sizes & (apart <= (1 - both) * shingles + 1e-6) & once)
+    held = cut(pairs.select(F.col("lk_u").alias("u"), F.col("lk_v").alias("v"), (1 - apart / shingles).alias("k")), "line-near")
+    forget(p)
     return held
 
 
@@ -256,34 +219,36 @@ def classes(docs: DataFrame, signatures: DataFrame, least: int = LEAST) -> DataF
     """`node`, `root` of the line hashes that are similar to another; `signatures` has `lk` and `key`, or `keys`.
 
     Of any two lines of a bucket that are similar, both end in one component.  First each line is compared with one
-    other of its buckets, FIRSTS times, each time within those buckets that aren't in one component yet.  Of those that are open then the
-    ones of LISTED lines at most have their pairs listed; in larger ones those pairs that share a rare shingle, as similar lines must
-    (`possible`), and nothing is lost.  Pairs whose ends are in one component already can't change anything and are left out.
-    Without signatures there are no classes.
+    other of its buckets, FIRSTS times, each time within those buckets that aren't in one component yet.  Those that are open then are dealt
+    into parts of about LISTED lines, and each line is compared with the one of its parts that is most like it by sketch.  In the buckets
+    that are open after that all pairs are found whose sketches allow that they are similar (`possible`), and nothing is lost.  Pairs whose
+    ends are in one component already can't change anything and are left out.  Without signatures there are no classes.
     """
     w = W.partitionBy("key")
     if "key" not in signatures.columns:
         signatures = signatures.select("lk", F.explode("keys").alias("key"))
-    rows = signatures.repartition("key").dropDuplicates(["key", "lk"]).select("key", "lk", F.count(F.lit(1)).over(w).alias("n"))
-    rows = cut(rows.where("n > 1"), "line-buckets")
+    rows = signatures.repartition("key").select("key", "lk", F.min("lk").over(w).alias("a"), F.max("lk").over(w).alias("b"))
+    rows = cut(rows.where("a <> b").select("key", "lk").dropDuplicates(), "line-buckets")
     ends = cut(rows.select("lk").distinct(), "line-ends")
     texts = occurrences(docs, least).select("lk", "line").where(Flags(ends, "lk").has("lk")).groupBy("lk").agg(F.first("line").alias("line"))
     texts = cut(texts.join(ends, "lk", "left_semi"), "line-texts")
-    similar = lambda df: df.where(F.col("shared") >= SIMILAR * F.col("all")).select("u", "v")
-    roots, seen, done = None, [], [ends, texts]
+    roots, done = None, [ends, texts]
 
     def tried(pairs: DataFrame) -> DataFrame:
-        for known in seen:
-            pairs = pairs.join(known, ["u", "v"], "left_anti")
-        seen.append(cut(compared(pairs, texts), "line-pairs"))
-        links = similar(seen[-1])
-        return cut(components(links if roots is None else roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links)), "line-roots")
+        links = cut(compared(pairs, texts).where(F.col("shared") >= SIMILAR * F.col("all")).select("u", "v"), "line-links")
+        out = cut(components(links if roots is None else roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links)), "line-roots")
+        done.append(links)
+        return out
 
     def open_rows() -> DataFrame:
         r = rows.select("key", "lk").join(roots.select(F.col("node").alias("lk"), F.col("root").alias("r")), "lk", "left").withColumn("r", F.coalesce("r", "lk"))
         keys = r.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("r").alias("a"), F.max("r").alias("b")).where("a <> b").select("key", "n")
         return cut(r.join(keys, "key").select("key", "lk", "n", "r"), "line-buckets")
 
+    def likeliest(found: DataFrame) -> DataFrame:
+        best = [found.groupBy(one).agg(F.max_by(other, F.struct("k", other)).alias(other)).select("u", "v") for one, other in (("u", "v"), ("v", "u"))]
+        return best[0].union(best[1]).distinct()
+
     for turn in range(FIRSTS):
         if turn and rows.isEmpty():
             break
@@ -291,25 +256,26 @@ def classes(docs: DataFrame, signatures: DataFrame, least: int = LEAST) -> DataF
         r = rows if turn else rows.withColumn("r", F.col("lk"))
         one = r.groupBy("key").agg((F.max if turn % 2 else F.min)(F.struct("lk", "r")).alias("o")).select("key", F.col("o.lk").alias("other"), F.col("o.r").alias("ro"))
         pairs = r.join(one, "key").where("r <> ro").groupBy("lk", "other").agg(F.count(F.lit(1)).alias("k"))
-        for known in seen:
-            pairs = pairs.join(known.select(F.col("u").alias("lk"), F.col("v").alias("other")).union(known.select("v", "u")), ["lk", "other"], "left_anti")
         pairs = pairs.groupBy("lk").agg(F.max_by("other", F.struct("k", "other")).alias("other"))
         roots = tried(pairs.select(F.least("lk", "other").alias("u"), F.greatest("lk", "other").alias("v")).distinct())
         done.append(rows)
         rows = open_rows()
-    few = rows.where(F.col("n") <= LISTED).select("key", F.col("lk").alias("u"), F.col("r").alias("a"))
-    pairs = few.join(few.select("key", F.col("u").alias("v"), F.col("a").alias("b")), "key").where("u < v AND a <> b").select("u", "v")
-    many = cut(rows.where(F.col("n") > LISTED).groupBy("lk").agg(F.first("r").alias("r"), F.collect_set("key").alias("keys")), "line-many")
-    if not many.isEmpty():
-        found = possible(many.join(texts, "lk").select("lk", "r", "line"), many.select("lk", "keys"))
+    if not rows.isEmpty():
+        own = rows.select("lk", "r").distinct()
+        bits = cut(sketched(own.join(texts, "lk")).drop("r"), "line-bits")
+        parts = rows.withColumn("key", F.xxhash64("key", F.pmod(F.xxhash64("key", "lk"), F.ceil(F.col("n") / LISTED))))
+        keys = lambda df: df.groupBy("lk").agg(F.collect_set("key").alias("keys"))
+        some = possible(own.join(bits, "lk"), keys(parts))
+        roots = tried(likeliest(some))
+        done += [rows, bits, some]
+        rows = open_rows()
+        found = possible(rows.select("lk", "r").distinct().join(bits, "lk"), keys(rows))
         # the likeliest of each line first: most others are in one component then
-        best = [found.groupBy(one).agg(F.max_by(other, F.struct("k", other)).alias(other)).select("u", "v") for one, other in (("u", "v"), ("v", "u"))]
-        roots = tried(pairs.union(best[0]).union(best[1]).distinct())
+        roots = tried(likeliest(found))
         root = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r_{c}"))
-        pairs = found.join(root("u"), "u", "left").join(root("v"), "v", "left").where(F.coalesce("r_u", "u") != F.coalesce("r_v", "v")).select("u", "v")
+        roots = tried(found.join(root("u"), "u", "left").join(root("v"), "v", "left").where(F.coalesce("r_u", "u") != F.coalesce("r_v", "v")).select("u", "v"))
         done.append(found)
-    roots = tried(pairs.distinct())
-    forget(*done, rows, many, *seen)
+    forget(*done, rows)
     return roots
 
 
